@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .minhash_dedup import op9_minhash_dedup
+from .quality_classifier import op1_quality_classifier
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
