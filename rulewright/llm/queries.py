@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .minhash_dedup import op9_minhash_dedup
+from .personal_data import op4_personal_data
 from .quality_classifier import op1_quality_classifier
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_personal_data": op4_personal_data,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
