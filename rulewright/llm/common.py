@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word: a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest number of rows of one bucket that one task compares with as many others.
-BLOCK = 256
+BLOCK = 128
 #: Bytes and rows of one Arrow batch, so that long texts keep a worker's memory bounded.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
 
@@ -33,13 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.at = spark, f"{shared_dir(spark)}/rulewright-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        bound_batches(spark)
         self.n = 0
 
     def stash(self, df: DataFrame, name: str) -> DataFrame:
