@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from .byte_bpe import op2_byte_bpe
 from .minhash_dedup import op9_minhash_dedup
+from .mixing import op3_mixing
 from .personal_data import op4_personal_data
 from .quality_classifier import op1_quality_classifier
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_mixing": op3_mixing,
     "op4_personal_data": op4_personal_data,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
