@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 5
 SLACK = 5.0
 #: Bucket representatives: the smallest id and this many hash-drawn others.
 DRAWN = 3
+#: Representatives of a node that are confirmed first, the best of so many hash classes.
+PICKED = 4
 #: Most words whose hashes a Python worker remembers.
 WORDS_KEPT = 400_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -125,24 +127,36 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est, pa.float64())], ["a", "b", "est"])
 
 
-def _cross(least: float):
-    """Pairs of different components within a block pair whose signatures agree enough."""
+def _cross(least: float, percent: int):
+    """Links between different components inside a block pair of a family: signatures
+    rule most pairs out, full sets confirm the rest, and a pair whose components a
+    link found here has joined already needs no test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, bounds in groups(batches, ["bucket", "bi", "bj"]):
+        for cols, bounds in groups(batches, ["family", "bi", "bj"]):
             out_a, out_b = [], []
             for s, e in bounds:
-                comp = cols["comp"][s:e]
-                if e - s < 2 or (comp == comp[0]).all():
+                comp = cols["comp"][s:e].copy()
+                if (comp == comp[0]).all():
                     continue
                 left, node = cols["left"][s:e].astype(bool), cols["node"][s:e]
                 sig = np.frombuffer(b"".join(cols["sig"][s:e]), np.uint32).reshape(e - s, -1)
-                l, r = np.flatnonzero(left), np.flatnonzero(~left) if cols["bi"][s] != cols["bj"][s] else np.flatnonzero(left)
-                for i in l:
-                    ok = r[comp[r] != comp[i]]
-                    ok = ok[(sig[ok] == sig[i]).mean(axis=1) >= least]
-                    out_a += [max(node[i], node[j]) for j in ok]
-                    out_b += [min(node[i], node[j]) for j in ok]
+                sets = [np.frombuffer(x, np.uint64) for x in cols["shingles"][s:e]]
+                size = np.array([len(x) for x in sets])
+                right = np.flatnonzero(left if cols["bi"][s] == cols["bj"][s] else ~left)
+                for i in np.flatnonzero(left):
+                    near = right[comp[right] != comp[i]]
+                    near = near[(sig[near] == sig[i]).mean(axis=1) >= least]
+                    if not len(near):
+                        continue
+                    others = np.concatenate([sets[j] for j in near])
+                    hit = sets[i][np.minimum(np.searchsorted(sets[i], others), size[i] - 1)] == others
+                    both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
+                    for j in near[100 * both >= percent * (size[i] + size[near] - both)]:
+                        if comp[i] != comp[j]:
+                            out_a.append(max(node[i], node[j]))
+                            out_b.append(min(node[i], node[j]))
+                            comp[comp == comp[j]] = comp[i]
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return run
@@ -185,6 +199,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     picked = F.explode(F.array_distinct(F.array("r", *(f"r{i}" for i in range(DRAWN)))))
     star = buckets.join(reps, "bucket").select("node", picked.alias("rep")).where("node <> rep").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}"))
+    hubs = scratch.stash(buckets.join(reps, "bucket").where("node <> r").select(F.col("node").alias("a"), F.col("r").alias("b")).distinct(), "hubs")
     star = scratch.stash(scratch.stash(star, "star").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long, est double").where(F.col("est") >= least), "candidates")
     scratch.drop(reps)
 
@@ -199,20 +214,34 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
         scratch.release()
         return out
 
+    def sets_of(need: DataFrame, name: str) -> DataFrame:
+        """The full sets of the given nodes, read from their texts again."""
+        texts = base.join(need, base.doc_id == need.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
+        out = scratch.stash(texts.mapInArrow(_sets(k), "node long, shingles binary").where(F.length("shingles") > 0), name)
+        scratch.release()
+        return out
+
     # First the most promising representatives of each node; they connect nearly all that is connected.
-    best = star.groupBy("a").agg(F.max_by("b", "est").alias("b1"), F.max("b").alias("b2"), F.min("b").alias("b3"))
-    first = scratch.stash(best.select("a", F.explode(F.array_distinct(F.array("b1", "b2", "b3"))).alias("b")), "first")
-    links = confirmed(first, "links")
+    mine = lambda i: F.pmod(F.xxhash64("b"), F.lit(PICKED)) == i
+    best = star.groupBy("a").agg(*(F.max_by(F.when(mine(i), F.col("b")), F.when(mine(i), F.col("est"))).alias(f"b{i}") for i in range(PICKED)))
+    first = scratch.stash(best.select("a", F.explode(F.array_compact(F.array(*(f"b{i}" for i in range(PICKED))))).alias("b")), "first")
+    sets = sets_of(scratch.stash(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "first-nodes"), "first-sets")
+    x = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"x{s}"))
+    links = scratch.stash(first.join(x("a"), "a").join(x("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
     comp = scratch.stash(components(links, scratch), "components")
-    labelled = scratch.stash(nodes.join(comp, "node", "left").select("node", "sig", F.coalesce("component", "node").alias("comp")), "labelled")
-
-    # Then every pair that shares a bucket across components and wasn't compared yet.
-    active = buckets.join(labelled.select("node", "comp"), "node").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    inside = scratch.stash(buckets.join(active, "bucket"), "active")
-    dealt = scratch.stash(split_blocks(inside, "bucket", "node", scratch), "blocks").join(labelled, "node")
-    rest = dealt.repartition(dealt.sparkSession.sparkContext.defaultParallelism * 4, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    cross = rest.mapInArrow(_cross(least), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(scratch.stash(cross, "cross"), "more-links")
+    scratch.drop(sets, star)
+    scratch.release()
+
+    # Then every pair that a chain of shared buckets connects across components, in block pairs.
+    family = scratch.stash(components(hubs, scratch).withColumnRenamed("component", "family"), "families")
+    labelled = family.join(comp, "node", "left").select("node", "family", F.coalesce("component", "node").alias("comp"))
+    labelled = scratch.stash(labelled, "labelled")
+    open_ = scratch.stash(labelled.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family"), "open-families")
+    inside = scratch.stash(labelled.join(open_, "family"), "open-nodes")
+    held = scratch.stash(sets_of(inside.select("node"), "open-sets").join(nodes.select("node", "sig"), "node").groupBy("node").agg(F.max("sig").alias("sig"), F.max("shingles").alias("shingles")), "held")
+    dealt = scratch.stash(split_blocks(inside, "family", "node", scratch), "blocks").join(held, "node")
+    dealt = dealt.repartition(4 * max(1, dealt.sparkSession.sparkContext.defaultParallelism), "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
+    more = scratch.stash(dealt.mapInArrow(_cross(least, percent), "a long, b long").distinct(), "more-links")
     full = scratch.stash(components(links.unionByName(more), scratch), "all-components")
     out = rows_of.select("doc_id", "key", "n").join(classes, "key", "left").join(full, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
