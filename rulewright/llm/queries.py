@@ -10,12 +10,14 @@ from .mixing import op3_mixing
 from .personal_data import op4_personal_data
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op8_quality_rules
+from .secret_scan import op5_secret_scan
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mixing": op3_mixing,
     "op4_personal_data": op4_personal_data,
+    "op5_secret_scan": op5_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_dedup": op9_minhash_dedup,
     "pipeline": corpus_pipeline.run,
