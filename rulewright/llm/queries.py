@@ -11,6 +11,7 @@ from .personal_data import op4_personal_data
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secret_scan import op5_secret_scan
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 
