@@ -6,7 +6,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a context, so that none needs it installed."""
+    sc, here = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(sc, "_rulewright_shipped", False) or not here.is_dir():
+        return
+    sc._rulewright_shipped = True
+    at = Path(tempfile.mkdtemp(prefix="rulewright-")) / "rulewright-package.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(at))
+
+
 def bound_batches(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

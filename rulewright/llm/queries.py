@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .byte_bpe import op2_byte_bpe
+from .embedding_dedup import op7_embedding_dedup
 from .minhash_dedup import op9_minhash_dedup
 from .mixing import op3_mixing
 from .personal_data import op4_personal_data
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_personal_data": op4_personal_data,
     "op5_secret_scan": op5_secret_scan,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_toxicity": op10_toxicity,
