@@ -12,6 +12,7 @@ from .personal_data import op4_personal_data
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op8_quality_rules
 from .secret_scan import op5_secret_scan
+from .suffix_dedup import op6_suffix_dedup
 from .toxicity import op10_toxicity
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_personal_data": op4_personal_data,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_dedup": op9_minhash_dedup,
