@@ -37,6 +37,8 @@ LENGTH, K = 100, 24
 MANY = 96
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
+#: Windows of a crowded anchor's chunk that are settled together if they are all alike.
+BLOCK = 16
 _POS = np.uint64((1 << 26) - 1)
 
 
@@ -162,9 +164,10 @@ def _unpack(at):
 
 
 def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the asked chunks; of those around crowded anchors, the windows' double hashes."""
-    names = ["anchor", "doc", "at", "bytes", "h1", "h2", "window"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    """Bytes of the asked chunks; of those around crowded anchors, blocks of at most BLOCK windows that
+    start at like offsets from the anchor: a double hash of the block, and of each of its windows."""
+    names = ["anchor", "doc", "at", "bytes", "b1", "b2", "window", "w1", "w2"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     one, two = hashes(3, PIECE), hashes(4, PIECE)
     for batch in batches:
         cols: list[list] = [[] for _ in names]
@@ -177,17 +180,20 @@ def _cut_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 c = b[p - l : p - l + r + LENGTH]
                 if not w["crowded"]:
-                    for x, v in zip(cols, (w["anchor"], doc, w["at"], c, None, None, None), strict=True):
+                    for x, v in zip(cols, (w["anchor"], doc, w["at"], c, None, None, None, None, None), strict=True):
                         x.append(v)
                     continue
-                d, i = np.frombuffer(c, np.uint8), np.arange(r + 1)
-                cols[0] += [None] * (r + 1)
-                cols[1] += [doc] * (r + 1)
-                cols[2] += [w["at"]] * (r + 1)
-                cols[3] += [None] * (r + 1)
-                cols[4] += _mix(one.of(one.sums(d), i, LENGTH)).view(np.int64).tolist()
-                cols[5] += _mix(two.of(two.sums(d), i, LENGTH)).view(np.int64).tolist()
-                cols[6] += range(p - l, p - l + r + 1)
+                d = np.frombuffer(c, np.uint8)
+                i, s1, s2 = np.arange(r + 1), one.sums(d), two.sums(d)
+                w1, w2 = (_mix(h.of(s, i, LENGTH)).view(np.int64) for h, s in ((one, s1), (two, s2)))
+                offset = i - l  # from the anchor
+                cut = np.append(np.flatnonzero(np.append(True, offset[1:] // BLOCK != offset[:-1] // BLOCK)), r + 1)
+                for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    salt = np.uint64(((s - l) & 0xFF) << 8 | (e - s))
+                    at, n = np.array([s]), e - s - 1 + LENGTH
+                    h1, h2 = (int(_mix(h.of(x, at, n) ^ salt).view(np.int64)[0]) for h, x in ((one, s1), (two, s2)))
+                    for x, v in zip(cols, (w["anchor"], doc, w["at"], None, h1, h2, p - l + s, w1[s:e], w2[s:e]), strict=True):
+                        x.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
@@ -369,16 +375,21 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, digest: bool = False) -> D
     # 4. Different chunks around one anchor: their bytes, or window hashes where they are very many.
     shared = scratch.stash(chunks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > MANY).alias("crowded")), "shared-anchors")
     wanted = scratch.stash(chunks.join(shared, "anchor").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "crowded")).alias("wanted")), "wanted")
-    cut = base.join(wanted, base["doc_id"] == wanted["doc"]).select("doc_id", "text", "wanted").mapInArrow(_cut_chunks, "anchor long, doc long, at long, bytes binary, h1 long, h2 long, window long")
+    cut = base.join(wanted, base["doc_id"] == wanted["doc"]).select("doc_id", "text", "wanted").mapInArrow(_cut_chunks, "anchor long, doc long, at long, bytes binary, b1 long, b2 long, window long, w1 array<long>, w2 array<long>")
     cut = scratch.stash(cut, "cut")
     scratch.drop(chunks, wanted, shared)
     scratch.release()
     few = cut.where("bytes IS NOT NULL").select("anchor", "doc", "at", "bytes")
     few = few.repartition(4 * max(1, base.sparkSession.sparkContext.defaultParallelism), "anchor").sortWithinPartitions("anchor", "doc", "at")
     sorted_ = scratch.stash(few.mapInArrow(_sorted_windows, "doc long, window long, tag long").select("doc", pack(F.col("window"), F.lit(0).cast("long"), F.col("tag")).alias("span")), "sorted")
-    crowd = cut.where("bytes IS NULL").select("h1", "h2", "doc", "window", tag.alias("tag"))
-    least = scratch.stash(crowd.groupBy("h1", "h2").agg(F.min(F.struct("doc", "window")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.col("f.doc").alias("fdoc"), F.col("f.window").alias("fwindow")), "first-windows")
-    crowded = crowd.join(least, ["h1", "h2"]).where("doc <> fdoc OR window <> fwindow").select("doc", pack(F.col("window"), F.lit(0).cast("long"), F.col("tag")).alias("span"))
+    # Crowded anchors: of equal blocks all but the first are repeats; the windows of the first ones are compared singly.
+    crowd = cut.where("bytes IS NULL").select("b1", "b2", "doc", "window", tag.alias("tag"), "w1", "w2")
+    blocks = scratch.stash(crowd.groupBy("b1", "b2").agg(F.min(F.struct("doc", "window", "tag", "w1", "w2")).alias("f"), F.count(F.lit(1)).alias("n")), "blocks")
+    seen = blocks.where("n > 1").select("b1", "b2", F.col("f.doc").alias("fdoc"), F.col("f.window").alias("fwindow"))
+    crowded = crowd.join(seen, ["b1", "b2"]).where("doc <> fdoc OR window <> fwindow").select("doc", pack(F.col("window"), F.size("w1") - 1, F.col("tag")).alias("span"))
+    single = blocks.select("f.doc", "f.window", "f.tag", F.posexplode(F.arrays_zip("f.w1", "f.w2")).alias("i", "w")).select("doc", (F.col("window") + F.col("i")).alias("window"), "tag", F.col("w.w1").alias("h1"), F.col("w.w2").alias("h2"))
+    least = scratch.stash(single.groupBy("h1", "h2").agg(F.min(F.struct("doc", "window")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.col("f.doc").alias("fdoc"), F.col("f.window").alias("fwindow")), "first-windows")
+    crowded = crowded.unionByName(single.join(least, ["h1", "h2"]).where("doc <> fdoc OR window <> fwindow").select("doc", pack(F.col("window"), F.lit(0).cast("long"), F.col("tag")).alias("span")))
     # 5. Coverage, document by document.
     spans = copies.unionByName(sorted_).unionByName(crowded).groupBy("doc").agg(F.collect_set("span").alias("spans"))
     spans = scratch.stash(spans, "spans")
