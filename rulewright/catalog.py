@@ -36,10 +36,19 @@ class CatalogError(KeyError):
 
 @dataclass
 class Frame:
-    """Rows by entity.  Two containers over one Frame are aligned without a join."""
+    """Rows by entity.  Two containers over one Frame, or over a Frame and one derived from it, are aligned without a join."""
 
     df: DataFrame
     key_space: str = "main"
+    parent: Frame | None = None  # a frame whose columns this one keeps, on a subset of its entities
+
+    def descends(self, other: Frame) -> bool:
+        f: Frame | None = self
+        while f is not None:
+            if f is other:
+                return True
+            f = f.parent
+        return False
 
 
 @dataclass

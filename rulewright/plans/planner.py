@@ -63,9 +63,14 @@ class Planner:
         self.rules, self.catalog, self.strict = rules, catalog, strict
         self.checkpoint_every, self.max_steps = checkpoint_every, max_steps
         self.trace: list[Step] = []
-        self.depth = 0
+        self.depth = self.names = 0
         self.pending: list[Variable] = []
 
+    def fresh(self) -> str:
+        """A column name that no frame of this plan has."""
+        self.names += 1
+        return f"_rw{self.names}"
+
     # -- goals ------------------------------------------------------------------------------------
 
     def goal(self, v: Variable, scope: Scope | None = None) -> Relation:
@@ -208,16 +213,21 @@ class Planner:
                 frames.setdefault(id(rel.frame), (rel.frame, {}))
             else:
                 frames.setdefault(id(rel.frame), (rel.frame, {}))[1][((), v)] = rel.value
-        if len(frames) == 1 and all(len(p[0]) == 0 for p in paths) and not lists:
+        # A frame that another one descends from is read through the descendant.
+        for key in [k for k, (f, _) in frames.items() if any(g is not f and g.descends(f) for g, _ in frames.values())]:
+            f, own = frames.pop(key)
+            next(x for g, x in frames.values() if g.descends(f)).update(own)
+        if len(frames) == 1:
             frame, own = next(iter(frames.values()))
             cols |= own
         elif frames:
-            df = None
-            for n, (f, own) in enumerate(frames.values()):
-                part = f.df.select("id", *(c.alias(f"_c{n}_{i}") for i, c in enumerate(own.values())))
-                df = part if df is None else df.join(part, "id")
-                cols |= {k: F.col(f"_c{n}_{i}") for i, k in enumerate(own)}
-            frame = Frame(df, next(iter(frames.values()))[0].key_space)
+            (frame, own), *rest = frames.values()
+            cols |= own
+            for f, own in rest:
+                names = [self.fresh() for _ in own]
+                part = f.df.select("id", *(c.alias(n) for n, c in zip(names, own.values(), strict=True)))
+                frame = Frame(frame.df.join(part, "id"), frame.key_space, frame)
+                cols |= {k: F.col(n) for n, k in zip(names, own, strict=True)}
         elif lists:
             rel = next(iter(lists.values()))
             frame = Frame((rel.domain or rel.frame).df.select("id").distinct(), rel.frame.key_space)
@@ -232,7 +242,8 @@ class Planner:
                 if key in done:
                     continue
                 if ((), prefix[0]) in lists:
-                    frame = self.through_list(frame, lists[((), prefix[0])], nxt, f"_m{len(done)}", scope, final=depth == len(chain))
+                    name = self.fresh()
+                    frame = self.through_list(frame, lists[((), prefix[0])], nxt, name, scope, final=depth == len(chain))
                 else:
                     at = cols[((), prefix[0])] if depth == 1 else F.col(done[(prefix[:-1], prefix[-1])])
                     rel = self.goal(nxt, scope)
@@ -240,13 +251,13 @@ class Planner:
                         params[(prefix, nxt)] = rel
                         done[key] = ""
                         continue
-                    name = f"_m{len(done)}"
+                    name = self.fresh()
                     if rel.kind is Kind.CONSTRAINT:
                         look = rel.frame.df.select(F.col("id").alias(f"{name}_id")).distinct().withColumn(name, F.lit(True))
                     else:
                         look = rel.frame.df.select(F.col("id").alias(f"{name}_id"), rel.value.alias(name))
-                    frame = Frame(frame.df.withColumn(f"{name}_at", at).join(look, F.col(f"{name}_at") == F.col(f"{name}_id")).drop(f"{name}_at", f"{name}_id"), frame.key_space)
-                done[key] = f"_m{len(done)}"
+                    frame = Frame(frame.df.withColumn(f"{name}_at", at).join(look, F.col(f"{name}_at") == F.col(f"{name}_id")).drop(f"{name}_at", f"{name}_id"), frame.key_space, frame)
+                done[key] = name
             if (chain, v) not in params:
                 cols[(chain, v)] = F.col(done[(chain, v)])
         for key, rel in params.items():
@@ -255,8 +266,8 @@ class Planner:
             elif frame is None:
                 cols[key] = rel
             else:
-                name = f"_p{len(cols)}"
-                frame = Frame(frame.df.crossJoin(F.broadcast(rel.df().select(F.col("value").alias(name)))), frame.key_space)  # a param is one row
+                name = self.fresh()
+                frame = Frame(frame.df.crossJoin(F.broadcast(rel.df().select(F.col("value").alias(name)))), frame.key_space, frame)  # a param is one row
                 cols[key] = F.col(name)
         for c in r.constraints:
             frame = self.restrict(frame, c, scope, r)
@@ -276,7 +287,7 @@ class Planner:
         kind = dict(look.dtypes)["_v"]
         listed = F.transform("_l", lambda s: s["_v"])
         got = got.select("id", F.coalesce(listed, F.array().cast(f"array<{kind}>")).alias(name))
-        return Frame(frame.df.join(got, "id"), frame.key_space)
+        return Frame(frame.df.join(got, "id"), frame.key_space, frame)
 
     def restrict(self, frame: Frame, c: Access, scope: Scope, r: Rule) -> Frame:
         for chain, v in c.paths():
@@ -290,7 +301,7 @@ class Planner:
                 continue
             if self.strict and not chain and ids.join(frame.df.select("id"), "id", "left_anti").limit(1).count():
                 raise PlanError(f"{r}: sources don't cover constraint {c}")
-            frame = Frame(frame.df.join(ids, "id", "left_semi"), frame.key_space)
+            frame = Frame(frame.df.join(ids, "id", "left_semi"), frame.key_space, frame)
         return frame
 
     @staticmethod
@@ -313,7 +324,7 @@ class Planner:
             return self.singleton(r, v, sources)
         out = self.value(r, r.body(*sources), v)
         if r.kind == "constraint":
-            return Relation(Kind.CONSTRAINT, Frame(frame.df.where(out).select("id"), frame.key_space))
+            return Relation(Kind.CONSTRAINT, Frame(frame.df.where(out), frame.key_space, frame))
         if isinstance(out, DataFrame):
             return Relation(Kind.MULTIMAP if "pos" in out.columns else Kind.MAP, Frame(out), F.col("dst"))
         if not isinstance(out, Column):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,16 @@ def start(master: str | None = None, **conf) -> SparkSession:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of spark.checkpoint.dir; where that is unset, as in tests, in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="rulewright-"))
-    return df.checkpoint(eager=True)
+    """Cuts lineage with a table written to the folder of spark.checkpoint.dir, which survives lost executors and
+    gives the next plan exact sizes; where that setting is unset, as in tests, to a temporary folder."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined():
+            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rulewright-"))
+            held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = held.get()
+    path = f"{at}/rulewright-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
