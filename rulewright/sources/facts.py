@@ -14,7 +14,7 @@ from ..functions.options import parse_vars
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A small driver-side file (settings), through Spark's file systems."""
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def read_vars(spark: SparkSession, path: str, catalog: Catalog) -> list[str]:
