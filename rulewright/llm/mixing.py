@@ -98,7 +98,8 @@ def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = WEIGHTS, m
     rows = scratch.stash(docs.select("source", words_in(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h")), "sizes")
     goal = scratch.stash(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     at = _thresholds(rows, goal, scratch)
-    copies = F.col("full") + (hash_of(docs["doc_id"]) <= F.col("threshold")).cast("long")
+    at = at.select("_source", F.col("full").alias("_full"), F.col("threshold").alias("_threshold"))
+    copies = F.col("_full") + (hash_of(docs["doc_id"]) <= F.col("_threshold")).cast("long")
     taken = docs.join(at, docs["source"].eqNullSafe(at["_source"])).withColumn("_copies", copies.cast("int")).where("_copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
