@@ -145,8 +145,17 @@ def barth(x: Column, diff: Column, qmax: Column, qmin: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), y))
 
 
+def nishikawa(up: Column, diff: Column, eps: float, p: int = 4) -> Column:
+    """Smooth limiter of order p = 3, 4 or 5: 1 where the allowed change is over twice the extrapolated one."""
+    a, b = F.abs(up), F.abs(diff)
+    s = {3: 4 * b * b, 4: 2 * b * (a * a - 2 * b * (a - 2 * b)), 5: 8 * b * b * (a * a - 2 * b * (a - b))}[p]
+    top = F.pow(a, F.lit(p)) + eps**p
+    y = (top + a * s) / (top + b * (F.pow(a, F.lit(p - 1)) + s) + TINY)
+    return F.when(a > 2 * b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), y)))
+
+
 def limiter(faces: DataFrame, cells: DataFrame, value: str, grad: str, kind: str = "barth", eps2: float = 0.0) -> DataFrame:
-    """id, limiter: the least face limiter of each cell; cells need qmax and qmin.  kind: barth, venkatakrishnan, none, zero."""
+    """id, limiter: the least face limiter of each cell; cells need qmax and qmin.  kind: barth, venkatakrishnan, nishikawa3 to nishikawa5, none, zero."""
     if kind in ("none", "zero"):
         return cells.select("id", F.lit(1.0 if kind == "none" else 0.0).alias("limiter"))
     s = sides(faces).join(cells.select(F.col("id").alias("cell"), F.col(value).alias("_q"), F.col(grad).alias("_g"), F.col("center").alias("_c"), "qmax", "qmin"), "cell")
@@ -155,6 +164,8 @@ def limiter(faces: DataFrame, cells: DataFrame, value: str, grad: str, kind: str
         one = barth(F.col("_q"), diff, F.col("qmax"), F.col("qmin"))
     elif kind == "venkatakrishnan":
         one = venkatakrishnan(F.when(diff > 0, F.col("qmax") - F.col("_q")).otherwise(F.col("qmin") - F.col("_q")), diff, F.lit(eps2))
+    elif kind in ("nishikawa3", "nishikawa4", "nishikawa5"):
+        one = nishikawa(F.when(diff > 0, F.col("qmax") - F.col("_q")).otherwise(F.col("qmin") - F.col("_q")), diff, eps2**0.5, int(kind[-1]))
     else:
         raise ValueError(f"unknown limiter {kind!r}")
     return s.groupBy("cell").agg(F.min(one).alias("limiter")).withColumnRenamed("cell", "id")

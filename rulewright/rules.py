@@ -45,14 +45,13 @@ class Rule:
     def phase(self) -> str:
         """build (x{n=0}), advance (x{n+1}), collapse (no level from a level), specific (x{n}) or generic."""
         t = self.targets[0]
+        deep = max((len(v.levels) for s in self.signature.sources for _, v in s.paths()), default=0)
+        if max(deep, len(self.conditional.levels) if self.conditional else 0) > len(t.levels):
+            return "collapse"
         if t.start is not None:
             return "build"
         if t.offset > 0:
             return "advance"
-        deep = max((len(v.levels) for s in self.signature.sources for _, v in s.paths()), default=0)
-        deep = max(deep, len(self.conditional.levels) if self.conditional else 0)
-        if deep > len(t.levels):
-            return "collapse"
         return "specific" if t.levels else "generic"
 
     def substitute(self, binding: dict[str, Variable]) -> Rule:

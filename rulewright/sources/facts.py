@@ -159,3 +159,19 @@ def transform(pos: DataFrame, translate=(0.0, 0.0, 0.0), scale=(1.0, 1.0, 1.0),
         v = V.rotate(v, rotate[0], math.cos(angle), math.sin(angle))
     out = pos.withColumn("_v", v)
     return out.select(*(c for c in pos.columns if c not in "xyz"), *((F.col(f"_v.{c}") + d).alias(c) for c, d in zip("xyz", translate, strict=True)))
+
+
+def read_ugrid_ascii(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """An ASCII element mesh (seven counts, node positions, boundary triangles and quadrilaterals, their surface ids, then
+    tetrahedra, pyramids, prisms and hexahedra, nodes numbered from 1): pos (id, x, y, z), boundary (id, nodes, surface),
+    cells (id, type, nodes).  The text is read by the driver: for meshes of its size."""
+    it = iter(read_text(spark, path).split())
+    try:
+        nodes, tri, quad, tet, pyr, prism, hexa = (int(next(it)) for _ in range(7))
+        pos = [(i, float(next(it)), float(next(it)), float(next(it))) for i in range(nodes)]
+        ring = [[int(next(it)) - 1 for _ in range(k)] for n, k in ((tri, 3), (quad, 4)) for _ in range(n)]
+        surface = [int(next(it)) for _ in ring]
+        cells = [(name, [int(next(it)) - 1 for _ in range(k)]) for n, k, name in ((tet, 4, "tet"), (pyr, 5, "pyramid"), (prism, 6, "prism"), (hexa, 8, "hex")) for _ in range(n)]
+    except (StopIteration, RuntimeError, ValueError) as e:
+        raise CatalogError(f"{path}: not a whole mesh file") from e
+    return {"pos": spark.createDataFrame(pos, "id long, x double, y double, z double"), "boundary": spark.createDataFrame([(i, r, s) for i, (r, s) in enumerate(zip(ring, surface, strict=True))], "id long, nodes array<long>, surface int"), "cells": spark.createDataFrame([(i, n, c) for i, (n, c) in enumerate(cells)], "id long, type string, nodes array<long>")}
