@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,11 +80,7 @@ def solve3(m: Column, b: Column) -> Column:
 
 def lu_solve(a: str, b: str, n: int):
     """A pandas UDF that solves dense systems of any size: arrays in, array out (partial pivoting)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<double>")
+    @F.pandas_udf("array<double>")
     def solve(m: pd.Series, v: pd.Series) -> pd.Series:
         if not len(m):
             return pd.Series([], dtype=object)
@@ -127,8 +125,6 @@ class Spline:
     """Piecewise cubic fitted to a function within a tolerance; evaluation, derivative and (for monotone functions) inverse."""
 
     def __init__(self, f: Callable[[float], float], low: float, high: float, tolerance: float = 1e-6, most: int = 4096):
-        import numpy as np
-
         n = 4
         while True:
             x = np.linspace(low, high, n + 1)
