@@ -29,7 +29,7 @@ from .common import bound_batches
 #: Longest word, in bytes, that goes through the recursive query; a power of two.
 LONG = 64
 #: Words per recursive query, and words a worker remembers.
-QUERY_WORDS, REMEMBERED = 30_000, 500_000
+QUERY_WORDS, REMEMBERED = 20_000, 400_000
 
 ENCODE = f"""
 WITH RECURSIVE step(round, w, pos, tok) AS (
@@ -62,7 +62,7 @@ class Codec:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
         parts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, m = np.array(parts, np.int64).T if parts else np.empty((3, 0), np.int64)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)

@@ -33,7 +33,7 @@ DRAWN = 3
 #: Representatives of a node that are confirmed first, the best of so many hash classes.
 PICKED = 4
 #: Most words whose hashes a Python worker remembers.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -91,7 +91,7 @@ def _signatures(k: int, bands: int, rows: int):
                 words = normal_words(text)
                 h = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
                 if h not in seen:
-                    if len(seen) > 20_000:
+                    if len(seen) > 5_000:
                         seen.clear()
                     s = shingle_set(words, k, ids)
                     seen[h] = (len(s), minima(s, a, b).tobytes() if len(s) else None)

@@ -61,7 +61,7 @@ def word_shape(word: bytes) -> int:
 
 class _Shapes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         v = self[word] = word_shape(word)
         return v

@@ -70,7 +70,7 @@ class _Features(dict):
         self.only = only
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         f = word_features(word)
         v = self[word] = f if self.only is None else tuple(self.only[x] for x in f if x in self.only)
