@@ -122,7 +122,7 @@ def user_functor_reductions(spark, sf):
     return o.select("id", F.concat(F.lit("["), F.array_join("s", ", "), F.lit("]")).alias("statuses"), r2(F.col("m.max")).alias("hi"), r2(F.col("m.min")).alias("lo"))
 
 
-@query("SELECT label, i - 1 AS pos, round(max(embedding[i]), 5) AS value FROM embeddings, range(1, 9) r(i) GROUP BY 1, 2")
+@query("SELECT label, i - 1 AS pos, round(max(embedding[i])::DOUBLE, 5) AS value FROM embeddings, range(1, 9) r(i) GROUP BY 1, 2")
 def elementwise_maximum(spark, sf):
     e = t(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 8).alias("v"))
     return elementwise(e, "label", "v", Maximum).select("label", F.posexplode("value").alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("value"))
@@ -269,7 +269,7 @@ def recursion_wavefront(spark, sf):
     return wavefront(spark.range(1), edges)
 
 
-@query("SELECT count(*) AS n, sum(id) AS ids FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY c_custkey) FROM customer WHERE c_acctbal < 0)")
+@query("SELECT count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY c_custkey) FROM customer WHERE c_acctbal < 0)")
 def dynamic_key_space(spark, sf):
     """Insertion mints keys after the largest, deletion removes entities of every container of the key space."""
     e = sales(spark, sf)
@@ -340,7 +340,7 @@ def symbolic_derivative(spark, sf):
     return t(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.round(c, 6).alias("value"))
 
 
-@query("SELECT p_partkey AS id, round(p_size * 0.3048, 6) AS meters, round((p_retailprice + 459.67) / 1.8, 4) AS kelvin FROM part")
+@query("SELECT p_partkey AS id, round(p_size * 0.3048::DOUBLE, 6) AS meters, round((p_retailprice + 459.67) / 1.8, 4) AS kelvin FROM part")
 def unit_conversion(spark, sf):
     return t(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(units.convert(F.col("p_size").cast("double"), "ft", "m"), 6).alias("meters"), F.round(units.convert(F.col("p_retailprice"), "F", "K"), 4).alias("kelvin"))
 
@@ -417,7 +417,7 @@ def _grid(spark, n=4):
     return m, f, G.cell_metrics(f)
 
 
-@query("SELECT 64 AS cells, 1.0 AS volume, 0.015625 AS min_volume, 0.015625 AS max_volume, 240 AS faces, 0.0 AS closure")
+@query("SELECT 64 AS cells, 1.0::DOUBLE AS volume, 0.015625::DOUBLE AS min_volume, 0.015625::DOUBLE AS max_volume, 240 AS faces, 0.0::DOUBLE AS closure")
 def mesh_metrics(spark, sf):
     _, f, c = _grid(spark)
     q = G.quality_report(f, c)
@@ -430,7 +430,7 @@ def _linear(spark):
     return m, f.withColumn("qb", q("center")), c.withColumn("q", q("center"))
 
 
-_EXACT = "SELECT i AS id, 2.0 AS gx, -3.0 AS gy, 0.5 AS gz FROM range(64) r(i)"
+_EXACT = "SELECT i AS id, 2.0::DOUBLE AS gx, -3.0::DOUBLE AS gy, 0.5::DOUBLE AS gz FROM range(64) r(i)"
 
 
 @query(_EXACT)
@@ -445,7 +445,7 @@ def least_squares_gradient(spark, sf):
     return G.least_squares(f, c, "q", "qb").select("id", *(F.round(f"grad.{k}", 9).alias(f"g{k}") for k in "xyz"))
 
 
-@query("SELECT i AS id, 0.0 AS jump FROM range(240) r(i)")
+@query("SELECT i AS id, 0.0::DOUBLE AS jump FROM range(240) r(i)")
 def muscl_extrapolation(spark, sf):
     """Unlimited extrapolation of a linear field meets at interior faces; boundary faces have one side."""
     _, f, c = _linear(spark)
@@ -462,13 +462,13 @@ def limiters(spark, sf):
     return a.join(b, "id").agg(F.bool_and(F.col("barth").between(0, 1) & F.col("venkatakrishnan").between(0, 1)).alias("bounded"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT i AS id, 1.0 AS value FROM range(125) r(i)")
+@query("SELECT i AS id, 1.0::DOUBLE AS value FROM range(125) r(i)")
 def node_interpolation(spark, sf):
     m, _, c = _linear(spark)
     return G.node_values(m, c.withColumn("one", F.lit(1.0)), "one").select("id", F.round("value", 9).alias("value"))
 
 
-@query("SELECT i AS id, round(3.0 / 64, 9) AS value FROM range(64) r(i)")
+@query("SELECT i AS id, round(3.0::DOUBLE / 64, 9) AS value FROM range(64) r(i)")
 def surface_integration(spark, sf):
     """The outward flux of the position vector is three times the volume."""
     _, f, _ = _linear(spark)
@@ -481,7 +481,7 @@ def element_types(spark, sf):
     return G.element_types(m).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT i AS id, 1.0 AS value FROM range(50) r(i)")
+@query("SELECT i AS id, 1.0::DOUBLE AS value FROM range(50) r(i)")
 def jacobi_solver(spark, sf):
     """Diagonally dominant system whose solution is all ones."""
     n = 50
