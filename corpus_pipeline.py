@@ -36,7 +36,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digest of their decoding."""
     import public_tokenizers
 
-    bound_batches(spark)
+    bound_batches(spark, 500, 4 << 20)
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, ("n_tokens", "ids", "decoded_sha256"))
 

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, trimmed
 
 #: Longest word, in bytes, that goes through the recursive query; a power of two.
 LONG = 64
 #: Words per recursive query, and words a worker remembers.
-QUERY_WORDS, REMEMBERED = 20_000, 400_000
+QUERY_WORDS, REMEMBERED = 8_000, 300_000
 
 ENCODE = f"""
 WITH RECURSIVE step(round, w, pos, tok) AS (
@@ -160,8 +160,8 @@ def _runner(shared, pattern: str, names: tuple[str, ...]):
         for batch in batches:
             own = own or codec(shared.value, pattern)
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for k in range(0, len(texts), 500):
-                ids = own.encode_batch(texts[k : k + 500])
+            for k in range(0, len(texts), 250):
+                ids = own.encode_batch(texts[k : k + 250])
                 back = own.decode_batch(ids)
                 made = {
                     "n_tokens": lambda: pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -170,7 +170,7 @@ def _runner(shared, pattern: str, names: tuple[str, ...]):
                     "ids": lambda: pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())),
                     "decoded": lambda: pa.array([x.decode() for x in back], pa.string()),
                 }
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 500), *(made[n]() for n in names)], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, 250), *(made[n]() for n in names)], ["doc_id", *names])
 
     return run
 
@@ -180,12 +180,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, names: tuple[
     little-endian unsigned 32-bit integers) and decoded_sha256: a row per row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: its size doesn't follow the data
     out = ", ".join(f"{n} {_COLUMNS[n]}" for n in names)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_runner(shared, pattern, names), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {out}")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_runner(shared, pattern, names)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {out}")
 
 
 def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    bound_batches(spark)
+    bound_batches(spark, 500, 4 << 20)
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))

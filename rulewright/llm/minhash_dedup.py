@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, groups, split_blocks
+from .common import Scratch, components, groups, split_blocks, trimmed
 
 BANDS, ROWS = 32, 5
 #: Signature agreement below this rules a pair out: five standard deviations under the threshold.
@@ -189,27 +189,27 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     """doc_id, key (of the normalised text), n_shingles, component_id, kept: a row per row of ``docs``."""
     least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows_of = scratch.stash(base.mapInArrow(_signatures(k, bands, rows), "doc_id long, key binary, n long, sig binary"), "signatures")
+    rows_of = scratch.stash(base.mapInArrow(trimmed(_signatures(k, bands, rows)), "doc_id long, key binary, n long, sig binary"), "signatures")
     classes = scratch.stash(rows_of.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
     nodes = scratch.stash(rows_of.where("n > 0").join(classes, "key").where("doc_id = node").groupBy("node", "key").agg(F.max("sig").alias("sig")), "nodes")
 
-    buckets = scratch.stash(nodes.mapInArrow(_band_rows(bands, rows), "node long, bucket long"), "buckets")
+    buckets = scratch.stash(nodes.mapInArrow(trimmed(_band_rows(bands, rows)), "node long, bucket long"), "buckets")
     drawn = [F.min_by("node", F.xxhash64("node", "bucket", F.lit(i))).alias(f"r{i}") for i in range(DRAWN)]
     reps = scratch.stash(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("r"), *drawn).where("c > 1").drop("c"), "representatives")
     picked = F.explode(F.array_distinct(F.array("r", *(f"r{i}" for i in range(DRAWN)))))
     star = buckets.join(reps, "bucket").select("node", picked.alias("rep")).where("node <> rep").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}"))
     hubs = scratch.stash(buckets.join(reps, "bucket").where("node <> r").select(F.col("node").alias("a"), F.col("r").alias("b")).distinct(), "hubs")
-    star = scratch.stash(scratch.stash(star, "star").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(_agree, "a long, b long, est double").where(F.col("est") >= least), "candidates")
+    star = scratch.stash(scratch.stash(star, "star").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(_agree), "a long, b long, est double").where(F.col("est") >= least), "candidates")
     scratch.drop(reps)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Of (a, b), the pairs whose full sets are similar enough.  Texts are fetched for the nodes of pairs alone."""
         need = scratch.stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
         texts = base.join(need, base.doc_id == need.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
-        sets = scratch.stash(texts.mapInArrow(_sets(k), "node long, shingles binary").where(F.length("shingles") > 0), f"{name}-sets")
+        sets = scratch.stash(texts.mapInArrow(trimmed(_sets(k)), "node long, shingles binary").where(F.length("shingles") > 0), f"{name}-sets")
         x = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"x{s}"))
-        out = scratch.stash(pairs.join(x("a"), "a").join(x("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a long, b long").distinct(), name)
+        out = scratch.stash(pairs.join(x("a"), "a").join(x("b"), "b").select("a", "b", "xa", "xb").mapInArrow(trimmed(_confirm(percent)), "a long, b long").distinct(), name)
         scratch.drop(need, sets)
         scratch.release()
         return out
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     def sets_of(need: DataFrame, name: str) -> DataFrame:
         """The full sets of the given nodes, read from their texts again."""
         texts = base.join(need, base.doc_id == need.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
-        out = scratch.stash(texts.mapInArrow(_sets(k), "node long, shingles binary").where(F.length("shingles") > 0), name)
+        out = scratch.stash(texts.mapInArrow(trimmed(_sets(k)), "node long, shingles binary").where(F.length("shingles") > 0), name)
         scratch.release()
         return out
 
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     first = scratch.stash(best.select("a", F.explode(F.array_compact(F.array(*(f"b{i}" for i in range(PICKED))))).alias("b")), "first")
     sets = sets_of(scratch.stash(first.select(F.col("a").alias("node")).union(first.select("b")).distinct(), "first-nodes"), "first-sets")
     x = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"x{s}"))
-    links = scratch.stash(first.join(x("a"), "a").join(x("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+    links = scratch.stash(first.join(x("a"), "a").join(x("b"), "b").select("a", "b", "xa", "xb").mapInArrow(trimmed(_confirm(percent)), "a long, b long").distinct(), "links")
     comp = scratch.stash(components(links, scratch), "components")
     scratch.drop(sets, star)
     scratch.release()
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     held = scratch.stash(sets_of(inside.select("node"), "open-sets").join(nodes.select("node", "sig"), "node").groupBy("node").agg(F.max("sig").alias("sig"), F.max("shingles").alias("shingles")), "held")
     dealt = scratch.stash(split_blocks(inside, "family", "node", scratch), "blocks").join(held, "node")
     dealt = dealt.repartition(4 * max(1, dealt.sparkSession.sparkContext.defaultParallelism), "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
-    more = scratch.stash(dealt.mapInArrow(_cross(least, percent), "a long, b long").distinct(), "more-links")
+    more = scratch.stash(dealt.mapInArrow(trimmed(_cross(least, percent)), "a long, b long").distinct(), "more-links")
     full = scratch.stash(components(links.unionByName(more), scratch), "all-components")
     out = rows_of.select("doc_id", "key", "n").join(classes, "key", "left").join(full, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bound_batches, trimmed
 
 #: At most about so many documents train the scorer (a hash-drawn sample).
 SAMPLE = 6000
@@ -173,9 +173,10 @@ def _score_rows(w: np.ndarray, posterior: dict[int, float]):
 
 def fit(docs: DataFrame, scratch: Scratch, sample: int = SAMPLE):
     """(weights, posterior by pattern, labeller accuracies) from all documents' votes and a sample of their features."""
+    bound_batches(docs.sparkSession, 500, 4 << 20)
     total = docs.count()
     u = (F.xxhash64("doc_id", "text") + F.lit(2.0**63)) / F.lit(2.0**64)
-    rows = scratch.stash(docs.select(F.col("text").cast("string").alias("text"), u.alias("u")).mapInArrow(_vote_rows(min(1.0, sample / max(1, total))), "pattern long, x binary"), "votes")
+    rows = scratch.stash(docs.select(F.col("text").cast("string").alias("text"), u.alias("u")).mapInArrow(trimmed(_vote_rows(min(1.0, sample / max(1, total)))), "pattern long, x binary"), "votes")
     counted = {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
     keys = sorted(counted)
     if not keys:
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, scratch: Scratch, sample: int = SAMPLE):
 def score(docs: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataFrame:
     """doc_id, posterior (of its votes alone), score (of the trained scorer), kept: a row per row of ``docs``."""
     w, posterior, _ = fit(docs, scratch, sample)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_score_rows(w, posterior), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, posterior double, score double, kept boolean")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(_score_rows(w, posterior)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, posterior double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataFrame:
@@ -208,7 +209,7 @@ def keep_good(docs: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataFr
             (out,) = inner(iter([batch.select(["text"])]))
             yield batch.filter(out.column("kept"))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
