@@ -1,8 +1,8 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 Regular expressions with checks (octets, Luhn, digit counts) give the base entities.
-They seed a bipartite graph: lexical patterns (the word before a mention, with the
-mention's shape) against instances (the mentions' texts).  A few rounds of scoring, each
+They seed a bipartite graph: lexical patterns (the word before or after a mention, with the
+coarse kind of the mention) against instances (the mentions' texts).  A few rounds of scoring, each
 two pre-aggregated group-bys, pass confidence from seeds to patterns and from patterns to
 instances; mentions of instances that high-confidence, well-supported patterns
 extract are added to the base spans.  What looks like a base kind but failed its check is never added.
@@ -27,26 +27,40 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A mention: a phone-like or card-like run of words, or one word that holds a digit.
-MENTION = r"\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9]){13,}+|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: A mention: a phone-like or card-like run of words, an address-like word (with @, or with a bracketed at, which blanks
+#: may surround), a number of three groups, any other run of spaced or parenthesised numbers, or one word that holds a digit.
+_SP, _DOT = r"\x20\x09-\x0D", r"\x20?[\[({](?i:dot)[\])}]\x20?"
+_LED, _ENDS = rf"(?<![^{_SP}])", rf"(?![^{_SP}\p{{P}}])"
+AT = r"[\[({](?i:at)[\])}]"
+ADDRESS = rf"{_LED}[^{_SP}@]++@[^{_SP}]++|{_LED}[^{_SP}\[({{]++\x20?{AT}\x20?[^{_SP}\[({{]++(?:{_DOT}[^{_SP}\[({{]++)*+"
+GROUPS = rf"{_LED}[(\[]?(?:[0-9]{{1,3}}[\x20.-]{{1,2}})?\(?[0-9]{{2,4}}\)?[\x20./-]{{0,2}}[0-9]{{3,4}}[\x20.-]{{1,2}}[0-9]{{3,4}}(?![0-9]|[.-][0-9]){_ENDS}"
+NUMBERS = rf"{_LED}[(\[]?[0-9]++(?:[\x20()./-]{{1,3}}+[0-9]++)*+{_ENDS}"
+MENTION = rf"\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9]){{13,}}+|{ADDRESS}|{GROUPS}|{NUMBERS}|{_LED}[^{_SP}0-9]*+[0-9][^{_SP}]*+"
+#: Kinds of numbers: what is written like a date isn't like a phone number, whatever its digits.
+DATE = r"^(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[0-9]{4})$"
 #: A pattern must extract so many distinct seeds, its seeds must make this share of its weight,
 #: and an instance needs this score, to be believed.
 SUPPORT, CONFIDENCE, BELIEVED, ROUNDS = 5, 0.95, 0.9, 3
 
 
-def spans(text: Column, regex: str) -> Column:
+def spans(text: Column, regex: str, after: bool = False) -> Column:
     """array<struct<start, end, value, before>> of the leftmost non-overlapping matches; ``before``
-    is the end of the text between the last match and this one."""
+    is the end of the text between the last match and this one.  With ``after``, also the beginning
+    of the text between this match and the next one."""
     found, gaps = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
     pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     pairs = F.filter(pairs, lambda p: p["m"].isNotNull())
     kind = "struct<start:long,end:long,value:string,before:string>"
+    if after:
+        kind = kind[:-1] + ",after:string>"
+        pairs = F.zip_with(pairs, F.slice(gaps, F.lit(2), F.greatest(F.size(found), F.lit(1))), lambda p, a: F.struct(p["g"].alias("g"), p["m"].alias("m"), a.alias("a")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def add(acc: Column, p: Column) -> Column:
         s = acc["at"] + F.length(p["g"])
         e = s + F.length(p["m"])
-        one = F.struct(s.alias("start"), e.alias("end"), p["m"].alias("value"), F.right(p["g"], F.lit(48)).alias("before")).cast(kind)
+        more = [F.left(p["a"], F.lit(48)).alias("after")] if after else []
+        one = F.struct(s.alias("start"), e.alias("end"), p["m"].alias("value"), F.right(p["g"], F.lit(48)).alias("before"), *more).cast(kind)
         return F.struct(e.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, add)["out"]).otherwise(F.array().cast(f"array<{kind}>"))
@@ -99,19 +113,28 @@ def text_of(merged: Column) -> Column:
     return F.array_join(F.transform(merged, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _coarse(value: Column, core: Column) -> Column:
+    """The coarse kind of a mention: an address, a number by its range of digits with separators and + folded, else the shape of the word."""
+    n = F.length(_digits(core))
+    number = F.when(value.rlike(r"^[^\p{L}\p{N}]*\+"), "#phone").when(core.rlike(DATE), "#date").when(core.rlike(f"^{IP}$"), "#ip").when(n < 7, "#short").when(n < 14, "#phone").otherwise("#card")
+    shape = F.left(F.regexp_replace(F.regexp_replace(core, "[0-9]++", "9"), r"\p{L}++", "a"), F.lit(32))
+    return F.when(value.rlike(f"@|{AT}"), "#address").when(core.rlike(r"^[0-9\x20()./-]++$"), number).otherwise(shape)
+
+
 def _mentions(t: DataFrame) -> DataFrame:
-    """A row per mention: key, start, end, value (without outer punctuation), pattern, kind (of the base span it overlaps, else null)."""
-    m = t.where(F.col("_t").rlike("[0-9]")).select("key", "base", F.explode(spans(F.col("_t"), MENTION)).alias("m"))
+    """A row per mention and pattern: key, start, end, value (without outer punctuation), pattern (the word
+    before or after, with the coarse kind), kind (of the base span it overlaps, else null), refused."""
+    m = t.where(F.col("_t").rlike(f"[0-9@]|{AT}")).select("key", "base", F.explode(spans(F.col("_t"), MENTION, after=True)).alias("m"))
     lead = F.length(F.regexp_extract("m.value", r"^[^\p{L}\p{N}]*+", 0))
     core = F.regexp_replace(F.regexp_replace("m.value", r"^[^\p{L}\p{N}]++", ""), r"[^\p{L}\p{N}]++$", "")
-    start = F.col("m.start") + lead
-    word = F.lower(F.regexp_extract("m.before", r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1))
-    shape = F.regexp_replace(F.regexp_replace(core, "[0-9]", "9"), r"\p{L}++", "a")
-    refused = core.rlike(f"^(?:{CARD}|{IP})$") | F.col("m.value").rlike(f"^{PHONE}$")  # looks like a base kind and failed its check, unless a base span covers it
-    rows = m.select("key", "base", refused.alias("refused"), start.alias("start"), core.alias("value"), F.concat_ws("\t", word, F.left(shape, F.lit(32))).alias("pattern"), (F.length(word) > 0).alias("led"))
-    rows = rows.withColumn("end", F.col("start") + F.length("value"))
+    word = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"^[^\p{L}\p{N}]++", ""), r"[^\p{L}\p{N}]++$", ""))
+    before, after = word(F.regexp_extract("m.before", rf"([^{_SP}]++)[{_SP}]*+$", 1)), word(F.regexp_extract("m.after", rf"^[^\p{{L}}\p{{N}}]*+([^{_SP}]++)", 1))
+    refused = core.rlike(f"{CARD}|{IP}") | F.col("m.value").rlike(PHONE)  # looks like a base kind and failed its check, unless a base span covers it
+    rows = m.select("key", "base", refused.alias("refused"), (F.col("m.start") + lead).alias("start"), core.alias("value"), _coarse(F.col("m.value"), core).alias("coarse"), before.alias("before"), after.alias("after"))
+    rows = rows.where("value <> ''").withColumn("end", F.col("start") + F.length("value"))
     hit = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return rows.where("led").select("key", "start", "end", "value", "pattern", F.when(F.size(hit) > 0, F.element_at(hit, 1)["kind"]).alias("kind"), "refused")
+    sides = F.filter(F.array(*(F.when(F.length(w) > 0, F.concat_ws("\t", F.lit(w), w, "coarse")) for w in ("before", "after"))), lambda p: p.isNotNull())
+    return rows.select("key", "start", "end", "value", F.explode(sides).alias("pattern"), F.when(F.size(hit) > 0, F.element_at(hit, 1)["kind"]).alias("kind"), "refused")
 
 
 def discover(t: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
@@ -130,6 +153,7 @@ def discover(t: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     instances = scratch.stash(instances.where(f"score >= {BELIEVED}"), "believed")
     sure = scratch.stash(patterns.where(f"confidence >= {CONFIDENCE}"), "sure")
     new = mentions.where("kind IS NULL AND NOT refused").join(sure, "pattern").join(instances.select("value"), "value")
+    new = new.groupBy("key", "start", "end").agg(F.max_by("takes", F.struct("confidence", "takes")).alias("takes"))
     one = F.struct(F.col("start"), F.lit(len(KINDS)).alias("order"), F.col("takes").alias("kind"), F.col("end"))
     return scratch.stash(new.groupBy("key").agg(F.collect_set(one).alias("extra")), "extra")
 

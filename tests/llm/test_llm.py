@@ -238,6 +238,29 @@ def test_personal_data_discovers_and_masks(spark, scratch):
     assert by_id(personal_data.mask(d, scratch))[3].text == "the office said contact <EMAIL> about it"
 
 
+UNSEEN = ["(377) 555-0271", "1 (377) 555-0272", "377-555-0273", "377 555 0274"]
+
+
+def test_personal_data_finds_unseen_identifiers(spark, scratch):
+    """Identifiers that no base rule matches, in the contexts of those that one does; dates and short numbers there stay."""
+    rows = [(i, f"{sentence(4, 700 + i)} dial +1 (4{i:02d}) 555-1{i:03d} {sentence(3, 750 + i)}", *[None] * 8) for i in range(40)]
+    rows += [(100 + i, f"{sentence(5, 800 + i)} write ann{i}@mail.example.org {sentence(4, 850 + i)}", *[None] * 8) for i in range(40)]
+    rows += [(150 + i, f"{sentence(5, 800 + i)} bob{i}@mail.example.org replied {sentence(4, 850 + i)}", *[None] * 8) for i in range(40)]
+    rows += [(200 + i, f"{sentence(4, 900 + i)} dial {v} ere", *[None] * 8) for i, v in enumerate(UNSEEN)]
+    rows += [(300, "alsö write jörg@müller.example soon", *[None] * 8), (301, "or write eve(at)site(dot)example soon", *[None] * 8), (302, "then zoë@exämple replied", *[None] * 8)]
+    rows += [(400 + i, f"we dial {v} then", *[None] * 8) for i, v in enumerate(["2024-01-15", "12", "300.1.1.1", "+1 23", "1234567890123456"])]
+    d = documents(spark, rows)
+    text = {r[0]: r[1] for r in rows}
+    got = {i: [(text[i][s.start : s.end], s.kind) for s in r.spans] for i, r in by_id(personal_data.find(d, scratch)).items()}
+    assert {i: len(got[i]) for i in range(40)} == {i: 1 for i in range(40)}
+    for i, v in enumerate(UNSEEN):
+        assert got[200 + i] == [(v.lstrip("("), "phone")], v
+    assert got[300] == [("jörg@müller.example", "email")] and got[302] == [("zoë@exämple", "email")]
+    assert got[301] == [("eve(at)site(dot)example", "email")]
+    assert all(got[400 + i] == [] for i in range(5))
+    assert by_id(personal_data.mask(d, scratch))[302].text == "then <EMAIL> replied"
+
+
 def test_secrets_and_ledger(spark, docs, scratch):
     rules = [re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
     ok = [lambda m: len(m[1]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24]
