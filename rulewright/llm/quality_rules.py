@@ -6,7 +6,7 @@ are boilerplate and are taken out; a document that keeps too small a share of it
 rejected.
 
 Defined results: a null text has no words and fails the base; a null host is a host of its
-own; copies of a text count once for line frequency and get equal results; rows without
+own; exact copies of a text are one document for line frequency and get equal results; rows without
 doc_id take part; an empty table gives an empty result.  Extra columns are ignored by ``judge``.
 """
 
@@ -80,15 +80,19 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, scratch: Scratch, line_share: float = LINE_SHARE, line_least: int = LINE_LEAST, kept_share: float = KEPT_SHARE) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept: a row per row."""
+def judge(docs: DataFrame, scratch: Scratch, line_share: float = LINE_SHARE, line_least: int = LINE_LEAST, kept_share: float = KEPT_SHARE, line_most: int | None = None) -> DataFrame:
+    """With ``line_most``, a line that more texts of its host hold is boilerplate whatever its share, in hosts of any size.
+
+    doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept: a row per row."""
     t = scratch.stash(measure(docs), "measures")
     rows = t.select("source", "key", F.explode("lines").alias("l")).select("source", "key", "l.hash", "l.words")
     lines = scratch.stash(rows.groupBy("source", "key", "hash").agg(F.sum("words").alias("all")), "lines")
     copies = t.groupBy("source", "key").agg(F.count(F.lit(1)).alias("copies"))
     hosts = scratch.stash(copies.groupBy("source").agg(F.count(F.lit(1)).alias("texts")).select(F.col("source").alias("host"), "texts"), "hosts")
-    counted = lines.groupBy("source", "hash").agg(F.count(F.lit(1)).alias("holding")).where(F.col("holding") > line_least)
-    often = counted.join(hosts, counted["source"].eqNullSafe(hosts["host"])).where(F.col("holding") > line_share * F.col("texts")).select("hash").distinct()
+    counted = lines.groupBy("source", "hash").agg(F.count(F.lit(1)).alias("holding")).where(F.col("holding") > (line_least if line_most is None else min(line_least, line_most)))
+    above = (F.col("holding") > line_least) & (F.col("holding") > line_share * F.col("texts"))
+    above = above if line_most is None else above | (F.col("holding") > line_most)
+    often = counted.join(hosts, counted["source"].eqNullSafe(hosts["host"])).where(above).select("hash").distinct()
     often = scratch.stash(often, "boilerplate")
     # A text's copies have all been summed; dividing by their number gives one text's words.
     removed = lines.join(often, "hash").groupBy("source", "key").agg(F.sum("all").alias("all")).join(copies.withColumnRenamed("source", "s").withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")))

@@ -296,6 +296,19 @@ def test_quality_rules_base_and_lines(spark, docs, scratch):
     assert all(r.boilerplate_words == 60 and r.kept == (i % 2 == 0) for i, r in judged.items())
 
 
+def test_quality_rules_absolute_limit(spark, scratch):
+    """Boilerplate of a hot host, where 5 % is out of reach, and of a host of 12 texts."""
+    line = sentence(60, 5)
+    rows = [(i, (f"{line}\n" if i < 15 else "") + sentence(55, 2000 + i), "en", "hot", *[None] * 6) for i in range(400)]
+    rows += [(500 + i, f"{line}\n{sentence(55, 3000 + i)}", "en", "small", *[None] * 6) for i in range(12)] + [(600 + i, f"{line}\n{sentence(55, 3100 + i)}", "en", "few", *[None] * 6) for i in range(5)]
+    rows += [(700 + i, f"{line}\n{sentence(55, 3200)}", "en", "copies", *[None] * 6) for i in range(30)]
+    d = documents(spark, rows)
+    assert all(r.boilerplate_words == 0 for r in quality_rules.judge(d, scratch).collect())
+    got = by_id(quality_rules.judge(d, scratch, line_most=10))
+    assert {i for i, r in got.items() if r.boilerplate_words == 60 and not r.kept} == {*range(15), *range(500, 512)}
+    assert all(got[i].kept for i in [*range(15, 400), *range(600, 605), *range(700, 730)])
+
+
 def test_quality_classifier_learns_from_votes(spark, scratch):
     rows = [(i, sentence(60, i), *[None] * 8) for i in range(80)]
     rows += [(100 + i, " ".join(w + "###" for w in sentence(50, 500 + i).split()), *[None] * 8) for i in range(15)] + [(200 + i, (VOCABULARY[i] + " ") * 60, *[None] * 8) for i in range(15)]
