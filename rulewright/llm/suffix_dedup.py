@@ -106,8 +106,14 @@ def anchors(texts: list[bytes], length: int = LENGTH, k: int = K):
     one, two = hashes(1, len(data)), hashes(2, len(data))
     s1, s2 = one.sums(data), two.sums(data)
     gram = _mix(one.of(s1, np.arange(len(data) - k + 1), k))
-    key = (gram & ~_POS) | (np.arange(len(gram), dtype=np.uint64) & _POS)
-    at = (_least(key, length - k + 1) & _POS).astype(np.int64)  # anchor of the window at each position
+    # The anchor of the window at each position.  Positions are packed relative to a block, which they can't outgrow.
+    w, at = length - k + 1, []
+    block = int(_POS) + 2 - w
+    for s in range(0, len(gram) - w + 1, block):
+        g = gram[s : s + block + w - 1]
+        key = (g & ~_POS) | np.arange(len(g), dtype=np.uint64)
+        at.append((_least(key, w) & _POS).astype(np.int64) + s)
+    at = np.concatenate(at)
     start = np.concatenate([[0], np.cumsum(size)])
     text = np.repeat(np.arange(len(texts)), size)[: len(at)]
     inside = np.arange(len(at)) + length <= start[text + 1]

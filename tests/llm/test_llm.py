@@ -160,6 +160,16 @@ def test_suffix_against_brute_force(spark, docs, scratch, many, monkeypatch):
     assert {i: bytes(r.kept) for i, r in got.items()} == brute_suffix(rows)
 
 
+def test_suffix_anchors_beyond_the_packed_positions(monkeypatch):
+    """Texts longer than the packed positions reach get the same anchors."""
+    r = random.Random(8)
+    items = [bytes(r.randrange(97, 123) for _ in range(n)) for n in (5000, 99, 700)]
+    want = suffix_dedup.anchors(items)
+    monkeypatch.setattr(suffix_dedup, "_POS", np.uint64(1023))
+    for x, y in zip(want, suffix_dedup.anchors(items), strict=True):
+        assert np.array_equal(x, y)
+
+
 def test_suffix_sort_order():
     data = np.frombuffer(b"banana_bandana_banner_ban" * 3, np.uint8)
     at = np.arange(0, len(data), 2)
