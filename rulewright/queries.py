@@ -374,6 +374,13 @@ def nearest_neighbour(spark, sf):
     return spatial.nearest(p.where("id % 2 = 1"), p.where("id % 2 = 0"), 0.05).select("id", "near", F.round("d2", 9).alias("d2"))
 
 
+@query(f"WITH p AS ({_P}), d AS (SELECT q.id, p.id AS near, (q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2 AS d2 FROM p q JOIN p ON q.id <> p.id) SELECT id, arg_min(near, (d2, near)) AS near, round(min(d2), 9) AS d2 FROM d GROUP BY 1")
+def nearest_neighbour_all(spark, sf):
+    """The nearest other vector of every vector."""
+    p = _points(spark, sf)
+    return spatial.nearest(p, p, 0.05, others=True).select("id", "near", F.round("d2", 9).alias("d2"))
+
+
 _BOX = "SELECT n_nationkey AS box, -0.2 + n_nationkey * 0.01 AS xlo, n_nationkey * 0.01 AS xhi, -0.1 AS ylo, 0.1 AS yhi, -0.15 AS zlo, 0.15 AS zhi FROM nation"
 
 
