@@ -128,6 +128,13 @@ def elementwise_maximum(spark, sf):
     return elementwise(e, "label", "v", Maximum).select("label", F.posexplode("value").alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
+@query("SELECT label, i - 1 AS pos, round(max(embedding[i])::DOUBLE, 5) AS value FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2")
+def elementwise_maximum_all(spark, sf):
+    """The maximum of every component."""
+    e = t(spark, sf, "embeddings").select("label", F.col("embedding").alias("v"))
+    return elementwise(e, "label", "v", Maximum).select("label", F.posexplode("value").alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("value"))
+
+
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'F')")
 def for_all_vacuous(spark, sf):
     """Customers all of whose orders are final; those without orders qualify."""

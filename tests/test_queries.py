@@ -36,3 +36,9 @@ def test_nearest_of_all_vectors(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (3, 0.0, 0.0, 0.0), (5, 9.0, 0.0, 0.0)], "id long, x double, y double, z double")
     assert {r.id: (r.near, r.d2) for r in spatial.nearest(p, p, 0.05, others=True).collect()} == {1: (3, 0.0), 3: (1, 0.0), 5: (1, 81.0)}
     assert spatial.nearest(p.where("id = 1"), p.where("id = 1"), 0.05, others=True).count() == 0
+
+
+def test_elementwise_maximum_has_every_component(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    want = {(k, i): round(float(v), 5) for k, g in e.groupby("label") for i, v in enumerate(np.stack(g.embedding.to_numpy()).max(0))}
+    assert {(r.label, r.pos): r.value for r in QUERIES["elementwise_maximum_all"](spark, SF).collect()} == pytest.approx(want, abs=2e-5)
