@@ -224,8 +224,9 @@ def quality_report(faces: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.agg(F.count(F.lit(1)).alias("cells"), F.sum("vol").alias("volume"), F.min("vol").alias("min_volume"), F.max("vol").alias("max_volume")).crossJoin(F.broadcast(faces.agg(F.count(F.lit(1)).alias("faces")))).crossJoin(F.broadcast(closure))  # single rows
 
 
-def jacobi(matrix: DataFrame, rhs: DataFrame, steps: int = 200, tolerance: float = 1e-10) -> DataFrame:
-    """(id, value): Jacobi iteration for a sparse system; matrix (row, col, a), rhs (id, b)."""
+def jacobi(matrix: DataFrame, rhs: DataFrame, steps: int = 200, tolerance: float = 1e-10, partial: bool = False) -> DataFrame:
+    """(id, value): Jacobi iteration for a sparse system; matrix (row, col, a), rhs (id, b).
+    Values that still change by more than the tolerance after all steps are returned only if ``partial``."""
     from ..session import checkpoint
 
     diagonal = matrix.where("row = col").select(F.col("row").alias("id"), F.col("a").alias("d"))
@@ -238,5 +239,7 @@ def jacobi(matrix: DataFrame, rhs: DataFrame, steps: int = 200, tolerance: float
         change = new.agg(F.max(F.abs(F.col("value") - F.col("old")))).first()[0]
         x = new.select("id", "value")
         if change is None or change <= tolerance:
-            break
+            return x
+    if not partial:
+        raise ValueError(f"no convergence in {steps} steps")
     return x

@@ -497,11 +497,11 @@ def element_types(spark, sf):
 
 @query("SELECT i AS id, 1.0::DOUBLE AS value FROM range(50) r(i)")
 def jacobi_solver(spark, sf):
-    """Diagonally dominant system whose solution is all ones."""
+    """Diagonally dominant system whose solution is all ones; 14 steps leave an error of 3e-5, below the rounding to 3 places."""
     n = 50
     i = spark.range(n)
     m = i.select(F.col("id").alias("row"), F.explode(F.array(*(F.struct(((F.col("id") + d) % n).alias("col"), F.lit(a).alias("a")) for d, a in ((0, 4.0), (1, -1.0), (n - 1, -1.0))))).alias("e")).select("row", "e.*")
-    return G.jacobi(m, i.select("id", F.lit(2.0).alias("b")), 14, 1e-9).select("id", F.round("value", 3).alias("value"))
+    return G.jacobi(m, i.select("id", F.lit(2.0).alias("b")), 14, 1e-9, partial=True).select("id", F.round("value", 3).alias("value"))
 
 
 @query()

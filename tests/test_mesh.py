@@ -89,3 +89,11 @@ def test_mesh_files(spark, linear, tmp_path):
     assert (moved.x, moved.y) == pytest.approx((1, -2))
     glue = facts.merge_meshes(g["pos"], g["pos"].withColumn("x", F.col("x") + 1e-4), 1e-3)
     assert {r.id: r.dst for r in glue.collect()} == {i: i for i in range(4)}
+
+
+def test_jacobi_reaches_its_tolerance_or_raises(spark):
+    m = spark.createDataFrame([(i, (i + d) % 5, a) for i in range(5) for d, a in ((0, 4.0), (1, -1.0), (4, -1.0))], "row long, col long, a double")
+    b = spark.createDataFrame([(i, 2.0) for i in range(5)], "id long, b double")
+    with pytest.raises(ValueError, match="no convergence in 3 steps"):
+        mesh.jacobi(m, b, 3, 1e-6)
+    assert all(abs(r.value - 1) < 1e-6 for r in mesh.jacobi(m, b, tolerance=1e-6).collect())
