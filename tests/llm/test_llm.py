@@ -326,15 +326,62 @@ def test_quality_classifier_learns_from_votes(spark, scratch):
     assert all(r.kept == (i < 100) for i, r in got.items())
 
 
-def test_em_recovers_accuracies():
-    r = np.random.default_rng(1)
-    good, k = r.random(4000) < 0.7, len(quality_classifier.LABELLERS)
-    fires = np.stack([(r.random(4000) < np.where(good == (p == 1), 0.6, 0.005)) for p in quality_classifier.POLARITY], 1)
-    p, n = np.unique(fires, axis=0, return_counts=True)
-    q, acc = quality_classifier.expectation_maximisation(p.astype(float), n.astype(float))
-    label = {tuple(x): y for x, y in zip(p.tolist(), q, strict=True)}
-    voted = fires.any(1)
-    assert np.mean([(label[tuple(f)] > 0.5) == g for f, g in zip(fires[voted].tolist(), good[voted], strict=True)]) > 0.9 and len(acc) == k
+def test_em_recovers_accuracies_of_conflicting_labellers():
+    """Labellers that often disagree get the accuracies they were made with, and the posterior beats the majority."""
+    r, n = np.random.default_rng(1), 40_000
+    bad = r.random(n) < 0.2
+    on_bad, on_good = np.array([0.95, 0.9, 0.4, 0.35, 0.45, 0.4, 0.35, 0.5, 0.4, 0.45]), np.array([0.97, 0.95, 0.7, 0.75, 0.7, 0.9, 0.8, 0.75, 0.85, 0.7])
+    wrong_if = np.where(bad[:, None], r.random((n, 10)) < on_bad, r.random((n, 10)) >= on_good)  # votes bad
+    vote = np.where(r.random((n, 10)) < 0.1, quality_classifier.ABSTAINS, np.where(wrong_if, quality_classifier.BAD, quality_classifier.GOOD))
+    p, back, count = np.unique(vote, axis=0, return_inverse=True, return_counts=True)
+    got = quality_classifier.expectation_maximisation(p, count.astype(float))
+    assert abs(got.bad_share - 0.2) < 0.02 and np.abs(got.on_bad - on_bad).max() < 0.04 and np.abs(got.on_good - on_good).max() < 0.04
+    q, majority = got.good[back.ravel()] < 0.5, (vote == quality_classifier.BAD).sum(1) > (vote == quality_classifier.GOOD).sum(1)
+    assert (q != majority).sum() > 1000 and (q == bad).mean() > 0.97 > (majority == bad).mean() + 0.02
+
+
+def naive_votes(text):
+    """The labellers' votes from the words themselves."""
+    w = (text or "").encode().split()
+    if len(w) < quality_classifier.LEAST_WORDS:
+        return [0] * len(quality_classifier.LABELLERS)
+    shape = [(s // 32, s // 8 % 4, s % 8) for s in map(quality_classifier.word_shape, w)]
+    n, same = len(w), [a == b for a, b in zip(w, w[1:], strict=False)]
+    plain = [k < 2 and e < 2 for k, e, _ in shape]
+    share = [
+        sum(e == 3 and k != 4 for k, e, _ in shape) / n, sum(k == 2 for k, _, _ in shape) / n, sum(same) / (n - 1), max(collections.Counter(w).values()) / n,
+        sum(e == 3 and k == 4 for k, e, _ in shape) / n, sum(e == 2 for _, e, _ in shape) / n, sum(z == 7 and k != 4 for k, _, z in shape) / n, 1 - sum(plain) / n,
+        5 * sum(all(same[i : i + 5]) for i in range(len(same) - 4)) / n if n > 5 else 0, 1 - sum(p and not x for p, x in zip(plain[1:], same, strict=True)) / (n - 1),
+    ]
+    return [1 if s >= b else 2 if s <= g else 0 for s, (_, b, g) in zip(share, quality_classifier.LABELLERS, strict=True)]
+
+
+def test_quality_query_against_plain_loops(spark, scratch):
+    """Votes, posteriors and scores of the query, recomputed document by document."""
+    rows = texts() + [" ".join(w + "###" for w in sentence(40, 500 + i).split()) for i in range(9)] + [sentence(3, i).upper() + " " + sentence(20, i) for i in range(9)] + ["| ".join(sentence(30, i).split()) for i in range(5)]
+    d = documents(spark, [(i, t, *[None] * 8) for i, t in enumerate(rows)])
+    held = quality_classifier.read(d, ["doc_id"], scratch)
+    w, _, found = quality_classifier.fit(held)
+    got, shapes = by_id(quality_classifier.score(d, scratch)), quality_classifier._Shapes()
+    patterns = {i: r.pattern for i, r in ((r.row.doc_id, r) for r in held.collect())}
+    for i, t in enumerate(rows):
+        assert quality_classifier.unpack_votes([patterns[i]])[0].tolist() == naive_votes(t), t
+        odds = np.log(1 / found.bad_share - 1)
+        for v, b, g in zip(naive_votes(t), found.on_bad, found.on_good, strict=True):
+            odds += {0: 0.0, 1: np.log((1 - g) / b), 2: np.log(g / (1 - b))}[v]
+        assert abs(1 / (1 + np.exp(-odds)) - got[i].posterior) < 1e-6
+        shape, ident = quality_classifier.read_words(t, shapes)
+        at, count = quality_classifier.features(shape, ident)
+        z = w[-1] + sum(w[a] * (c / len(shape)) ** 0.5 for a, c in zip(at.tolist(), count.tolist(), strict=True))
+        assert abs(1 / (1 + np.exp(-z)) - got[i].score) < 1e-6 and got[i].kept == (got[i].score >= 0.5 or len((t or "").split()) < 4)
+    assert len({round(r.posterior, 6) for r in got.values()}) > 4
+
+
+def test_quality_on_held_out_labels(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf[:-3]}01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_classifier.score(docs, Scratch(spark)).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    share = {r.quality: r.kept for r in got}
+    assert share[1] > 0.98 and share[0] < 0.05
 
 
 def test_embeddings_against_brute_force(spark, scratch):
