@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, trimmed
+from .common import bound_batches, spread, trimmed
 
 #: Longest word, in bytes, that goes through the recursive query; a power of two.
 LONG = 64
@@ -188,4 +188,4 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
     bound_batches(spark, 500, 4 << 20)
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), ranks, public_tokenizers.PATTERN, ("n_tokens", "ids_sha256", "decoded_sha256"))

@@ -36,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table as read, dealt out anew only if it has fewer partitions than the cluster has cores, as one small file has."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a context, so that none needs it installed."""
     sc, here = spark.sparkContext, Path(__file__).resolve().parent.parent

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, groups, split_blocks
+from .common import Scratch, components, groups, split_blocks, spread
 
 SEED = 20240611
 #: Counting lines, half width of a query's window in standard deviations of the difference at the least cosine, wanted recall of the count.
@@ -173,4 +173,4 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, least: float = 0.9) -> Da
 
 
 def op7_embedding_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark))
+    return near_vectors(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), Scratch(spark))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, groups, split_blocks, trimmed
+from .common import Scratch, components, groups, split_blocks, spread, trimmed
 
 BANDS, ROWS = 32, 5
 #: Signature agreement below this rules a pair out: five standard deviations under the threshold.
@@ -256,5 +256,5 @@ def deduplicate(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80
 
 
 def op9_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return near_duplicates(docs, Scratch(spark), k=2).drop("key")

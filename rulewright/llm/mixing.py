@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread
 
 #: Bits of the hash per histogram level, and in all.
 LEVEL_BITS, HASH_BITS = 9, 63
@@ -105,4 +105,4 @@ def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = WEIGHTS, m
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
-    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)).select("doc_id", "size", "source_size", "target", "taken")
+    return plan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), Scratch(spark)).select("doc_id", "size", "source_size", "target", "taken")

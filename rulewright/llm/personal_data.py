@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Possessive quantifiers keep Java's matcher iterative; the look-behinds start each attempt where a
@@ -194,5 +194,5 @@ def mask(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op4_personal_data(spark, sf_dir: str) -> DataFrame:
-    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
+    found = find(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), Scratch(spark))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"), text_of(F.col("spans")).alias("spans"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import Scratch, bound_batches, trimmed
+from .common import Scratch, bound_batches, spread, trimmed
 
 #: At most about so many documents train the scorer (a hash-drawn sample).
 SAMPLE = 6000
@@ -243,4 +243,4 @@ def keep_good(docs: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataFr
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
+    return score(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), Scratch(spark))

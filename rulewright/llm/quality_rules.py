@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread
 from .mixing import words_in
 
 #: A line is boilerplate if more texts of its host hold it than this share of them, and than this many.
@@ -104,4 +104,4 @@ def judge(docs: DataFrame, scratch: Scratch, line_share: float = LINE_SHARE, lin
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
+    return judge(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), Scratch(spark))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread
 
 FOUND = "array<struct<start:int,order:int,kind:string,end:int>>"
 
@@ -98,7 +98,7 @@ def text_of(found: Column) -> Column:
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found, _ = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), None, Scratch(spark))
+    found, _ = scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None, Scratch(spark))
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = text_of(F.col("found"))
     return found.select("doc_id", *(of(r.kind) for r in RULES), F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, groups
+from .common import Scratch, groups, spread
 
 LENGTH, K = 100, 24
 #: Anchors with more different chunks than this go through window hashes.
@@ -406,4 +406,4 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, digest: bool = False) -> D
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), digest=True)
+    return remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), Scratch(spark), digest=True)

@@ -65,11 +65,12 @@ def operators(scratch):
         "quality": lambda d: quality_classifier.score(d, scratch), "good": lambda d: quality_classifier.keep_good(d, scratch), "bpe": lambda d: byte_bpe.encode(d, ranks, pattern),
         "plan": lambda d: mixing.plan(d, scratch), "mix": lambda d: mixing.mix(d, scratch), "pii": lambda d: personal_data.find(d, scratch), "mask": lambda d: personal_data.mask(d, scratch),
         "secrets": lambda d: secret_scan.scan(d, None, scratch)[0], "suffix": lambda d: suffix_dedup.remove_repeats(d, scratch), "rules": lambda d: quality_rules.judge(d, scratch),
+        "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, d.sparkSession.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int"), scratch)),
         "minhash": lambda d: minhash_dedup.near_duplicates(d, scratch), "dedup": lambda d: minhash_dedup.deduplicate(d, scratch),
     }
 
 
-@pytest.mark.parametrize("name", ["quality", "good", "bpe", "plan", "mix", "pii", "mask", "secrets", "suffix", "rules", "minhash", "dedup"])
+@pytest.mark.parametrize("name", ["quality", "good", "bpe", "plan", "mix", "pii", "mask", "secrets", "suffix", "rules", "toxicity", "minhash", "dedup"])
 def test_empty_and_odd_rows(spark, scratch, name):
     f = operators(scratch)[name]
     assert f(documents(spark, [])).count() == 0
@@ -418,6 +419,43 @@ def test_toxicity_swaps(spark, scratch):
     assert toxicity.score(d, none).where("score BETWEEN 0 AND 1").count() == 300
 
 
+def test_toxicity_penalty_acts_on_a_corpus_without_mentions(spark, scratch):
+    """No text names a group; the added mentions make pairs, and without the penalty scores differ and depend on the group named."""
+    words = [w for w in VOCABULARY if w not in toxicity._SWAP]
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(words) for _ in range(25)) + (" vileword" if i % 3 == 0 and i % 9 else ""), *[None] * 8) for i in range(400)]
+    assert all(toxicity.swapped(x[1]) is None for x in rows)
+    d, lab = documents(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    asked = documents(spark, [(i, f"we met {t} today", *[None] * 8) for i, t in enumerate(toxicity._TERMS)] + [(500, "we met today", *[None] * 8)])
+    models = {p: toxicity.fit(d, lab, scratch, penalty=p, mentions=p / 10) for p in (0.0, toxicity.SWAP_PENALTY)}
+    near = {p: by_id(toxicity.score(asked, m)) for p, m in models.items()}
+    term = {t: i for i, t in enumerate(toxicity._TERMS)}
+    gap = {p: max(abs(g[term[t]].score - g[term[toxicity._SWAP[t]]].score) for t in term) for p, g in near.items()}
+    assert gap[toxicity.SWAP_PENALTY] < 0.1 * gap[0.0] and gap[0.0] > 0.05
+    lift = {p: max(abs(g[i].score - g[500].score) for i in term.values()) for p, g in near.items()}
+    assert lift[toxicity.SWAP_PENALTY] < 0.5 * lift[0.0]
+    a, b = (by_id(toxicity.score(d, m)) for m in models.values())
+    assert max(abs(a[i].score - b[i].score) for i in a) > 1e-3
+
+
+def test_toxicity_scores_against_plain_loops(spark, scratch):
+    rows = [(i, sentence(20, 40 + i) + (" vileword scum" if i % 4 == 0 else "") + (" Women gather" if i % 5 == 0 else ""), *[None] * 8) for i in range(120)]
+    d = documents(spark, rows)
+    index, w, bias = model = toxicity.fit(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int"), scratch)
+    assert set(index) >= {f for t in toxicity._TERMS for f in toxicity.word_features(t)} and len(index) == len(w)
+    for i, r in by_id(toxicity.score(d, model)).items():
+        seen = {f for run in re.findall(r"[^\W\d_]+", rows[i][1].lower()) for f in [toxicity.feature(f"w:{run}"), *(toxicity.feature(f"b{n}:{run[:n]}") for n in (4, 5, 6) if len(run) >= n)]}
+        z = bias + sum(w[index[f]] for f in seen if f in index)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_toxicity_on_held_out_labels(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf[:-3]}01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.fit(docs, labels, Scratch(spark))).join(labels, "doc_id").where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p"), F.avg("score").alias("s")).collect()
+    by = {r.toxic: r for r in got}
+    assert by[0].p < 0.05 and by[1].s > 5 * by[0].s
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
 
