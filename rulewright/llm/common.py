@@ -154,8 +154,23 @@ def split_blocks(rows: DataFrame, bucket: str, node: str, scratch: Scratch, bloc
     return dealt.select(*rows.columns, F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"), (F.col("_own") <= F.col("_other")).alias("left"))
 
 
+#: A key is hot if it has more rows than this share of all and than so many; by count there are fewer hot keys than HOT.
+HOT, HOT_LEAST = 200, 1000
+
+
+def hot_join(rows: DataFrame, unique: DataFrame, key: str, n: str = "_n") -> DataFrame:
+    """Inner join of ``rows`` to ``unique``, which has one row per key and in ``n`` the key's number of rows.  Hot
+    keys, fewer than HOT, meet their rows where these lie, by a broadcast of proven size; the rest are shuffled."""
+    total = unique.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(total / HOT, HOT_LEAST)
+    if not unique.where(hot).limit(1).count():
+        return rows.join(unique.drop(n), key)
+    few, rest = F.broadcast(unique.where(hot).drop(n)), unique.where(~hot).drop(n)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(unique.where(hot).select(key)), key, "left_anti").join(rest, key))
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """Connected components by alternating large-star and small-star.
+    """Connected components by alternating large-star and small-star; the centres of large stars are hot keys.
 
     ``edges`` has longs ``a``, ``b``.  Returns ``node``, ``component`` (its smallest
     reachable node), a row per node of an edge.  A node's smallest neighbour comes from a
@@ -164,8 +179,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = scratch.stash(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
-        j = both.join(least, "a")
+        least = scratch.stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("a", "m")), "least")
+        j = hot_join(both, least, "a")
         if large:
             new = j.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:

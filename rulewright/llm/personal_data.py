@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread
+from .common import Scratch, hot_join, spread
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Possessive quantifiers keep Java's matcher iterative; the look-behinds start each attempt where a
@@ -43,24 +43,34 @@ DATE = r"^(?:[0-9]{4}([./-])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2
 SUPPORT, CONFIDENCE, BELIEVED, ROUNDS = 5, 0.95, 0.9, 3
 
 
-def spans(text: Column, regex: str, after: bool = False) -> Column:
-    """array<struct<start, end, value, before>> of the leftmost non-overlapping matches; ``before``
-    is the end of the text between the last match and this one.  With ``after``, also the beginning
-    of the text between this match and the next one."""
+def _edge_word(gap: Column, last: bool) -> Column:
+    """The last or first word of a gap, in lower case and without outer punctuation; "" if there is none."""
+    word = F.regexp_extract(gap, rf"{_LED}([^{_SP}]++)[{_SP}]*+$" if last else rf"^[^\p{{L}}\p{{N}}]*+([^{_SP}]++)", 1)
+    return _bounded(F.lower(F.regexp_replace(F.regexp_replace(word, r"^[^\p{L}\p{N}]++", ""), r"[^\p{L}\p{N}]++$", "")))
+
+
+def _bounded(c: Column) -> Column:
+    """``c``, or its SHA-256 if it is long: what serves as a key alone needn't be carried whole."""
+    return F.when(F.length(c) > 64, F.sha2(c.cast("binary"), 256)).otherwise(c)
+
+
+def spans(text: Column, regex: str, around: bool = False) -> Column:
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches.  With ``around``, also
+    the word ``before`` in the text between the last match and this one, and the word ``after`` in that up to the next one."""
     found, gaps = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
     pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     pairs = F.filter(pairs, lambda p: p["m"].isNotNull())
-    kind = "struct<start:long,end:long,value:string,before:string>"
-    if after:
-        kind = kind[:-1] + ",after:string>"
+    kind = "struct<start:long,end:long,value:string>"
+    if around:
+        kind = kind[:-1] + ",before:string,after:string>"
         pairs = F.zip_with(pairs, F.slice(gaps, F.lit(2), F.greatest(F.size(found), F.lit(1))), lambda p, a: F.struct(p["g"].alias("g"), p["m"].alias("m"), a.alias("a")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def add(acc: Column, p: Column) -> Column:
         s = acc["at"] + F.length(p["g"])
         e = s + F.length(p["m"])
-        more = [F.left(p["a"], F.lit(48)).alias("after")] if after else []
-        one = F.struct(s.alias("start"), e.alias("end"), p["m"].alias("value"), F.right(p["g"], F.lit(48)).alias("before"), *more).cast(kind)
+        more = [_edge_word(p["g"], True).alias("before"), _edge_word(p["a"], False).alias("after")] if around else []
+        one = F.struct(s.alias("start"), e.alias("end"), p["m"].alias("value"), *more).cast(kind)
         return F.struct(e.cast("long").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, add)["out"]).otherwise(F.array().cast(f"array<{kind}>"))
@@ -88,7 +98,7 @@ def _luhn(m: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """The checked base spans of each kind; ``text`` must not be null."""
-    empty = F.array().cast("array<struct<start:long,end:long,value:string,before:string>>")
+    empty = F.array().cast("array<struct<start:long,end:long,value:string>>")
     digits = text.rlike("[0-9]")
     ok = {"email": lambda s: F.lit(True), "ip": lambda s: _octets(s["value"]), "card": lambda s: _luhn(s["value"]), "phone": lambda s: F.length(_digits(s["value"])).between(10, 15)}
     when = {"email": F.contains(text, F.lit("@")), "ip": digits, "card": digits, "phone": F.contains(text, F.lit("+"))}
@@ -101,9 +111,9 @@ def _tagged(c: Column, kind: Column | str, order: int) -> Column:
 
 
 def with_base(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, key, the columns of ``keep``, n_<kind> and base: the spans by start, then kind as listed."""
+    """doc_id, key (128 bits of doc_id and text), the columns of ``keep``, n_<kind> and base: the spans by start, then kind as listed."""
     t = docs.select("doc_id", *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
-    t = t.select("doc_id", *keep, F.xxhash64("doc_id", "_t").alias("key"), "_t", *(c.alias(k) for k, c in base_spans(F.col("_t")).items()))
+    t = t.select("doc_id", *keep, F.unhex(F.md5(F.concat_ws("\t", F.col("doc_id").cast("string"), "_t").cast("binary"))).alias("key"), "_t", *(c.alias(k) for k, c in base_spans(F.col("_t")).items()))
     merged = F.array_sort(F.concat(*(_tagged(F.col(k), k, i) for i, k in enumerate(KINDS))))
     return t.select("doc_id", *keep, "key", "_t", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), merged.alias("base"))
 
@@ -117,42 +127,44 @@ def _coarse(value: Column, core: Column) -> Column:
     """The coarse kind of a mention: an address, a number by its range of digits with separators and + folded, else the shape of the word."""
     n = F.length(_digits(core))
     number = F.when(value.rlike(r"^[^\p{L}\p{N}]*\+"), "#phone").when(core.rlike(DATE), "#date").when(core.rlike(f"^{IP}$"), "#ip").when(n < 7, "#short").when(n < 14, "#phone").otherwise("#card")
-    shape = F.left(F.regexp_replace(F.regexp_replace(core, "[0-9]++", "9"), r"\p{L}++", "a"), F.lit(32))
+    shape = _bounded(F.regexp_replace(F.regexp_replace(core, "[0-9]++", "9"), r"\p{L}++", "a"))
     return F.when(value.rlike(f"@|{AT}"), "#address").when(core.rlike(r"^[0-9\x20()./-]++$"), number).otherwise(shape)
 
 
 def _mentions(t: DataFrame) -> DataFrame:
     """A row per mention and pattern: key, start, end, value (without outer punctuation), pattern (the word
     before or after, with the coarse kind), kind (of the base span it overlaps, else null), refused."""
-    m = t.where(F.col("_t").rlike(f"[0-9@]|{AT}")).select("key", "base", F.explode(spans(F.col("_t"), MENTION, after=True)).alias("m"))
+    m = t.where(F.col("_t").rlike(f"[0-9@]|{AT}")).select("key", "base", F.explode(spans(F.col("_t"), MENTION, around=True)).alias("m"))
     lead = F.length(F.regexp_extract("m.value", r"^[^\p{L}\p{N}]*+", 0))
     core = F.regexp_replace(F.regexp_replace("m.value", r"^[^\p{L}\p{N}]++", ""), r"[^\p{L}\p{N}]++$", "")
-    word = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"^[^\p{L}\p{N}]++", ""), r"[^\p{L}\p{N}]++$", ""))
-    before, after = word(F.regexp_extract("m.before", rf"([^{_SP}]++)[{_SP}]*+$", 1)), word(F.regexp_extract("m.after", rf"^[^\p{{L}}\p{{N}}]*+([^{_SP}]++)", 1))
     refused = core.rlike(f"{CARD}|{IP}") | F.col("m.value").rlike(PHONE)  # looks like a base kind and failed its check, unless a base span covers it
-    rows = m.select("key", "base", refused.alias("refused"), (F.col("m.start") + lead).alias("start"), core.alias("value"), _coarse(F.col("m.value"), core).alias("coarse"), before.alias("before"), after.alias("after"))
-    rows = rows.where("value <> ''").withColumn("end", F.col("start") + F.length("value"))
+    start = (F.col("m.start") + lead).alias("start")
+    rows = m.select("key", "base", refused.alias("refused"), start, (start + F.length(core)).alias("end"), _bounded(core).alias("value"), _coarse(F.col("m.value"), core).alias("coarse"), F.col("m.before").alias("before"), F.col("m.after").alias("after")).where("value <> ''")
     hit = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     sides = F.filter(F.array(*(F.when(F.length(w) > 0, F.concat_ws("\t", F.lit(w), w, "coarse")) for w in ("before", "after"))), lambda p: p.isNotNull())
     return rows.select("key", "start", "end", "value", F.explode(sides).alias("pattern"), F.when(F.size(hit) > 0, F.element_at(hit, 1)["kind"]).alias("kind"), "refused")
 
 
 def discover(t: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """key, extra: the spans that believed patterns add to the base, a row per document text that gets any."""
+    """key, extra: the spans that believed patterns add to the base, a row per document text that gets any.  Only patterns
+    that extract enough seeds, all of one kind, can be believed, so the graph holds no others.  Common words and values are hot keys."""
     mentions = scratch.stash(_mentions(t), "mentions")
     graph = scratch.stash(mentions.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")), "graph")
-    instances = graph.groupBy("value").agg(F.max("kind").alias("kind")).select("value", F.col("kind").isNotNull().cast("double").alias("score"))
+    able = graph.groupBy("pattern").agg(F.count("kind").alias("seeds"), F.max("kind").alias("takes"), F.min("kind").alias("least"), F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_m"))
+    able = scratch.stash(able.where(f"seeds >= {SUPPORT} AND takes = least").select("pattern", "takes", "_n", "_m"), "able")
+    graph = scratch.stash(hot_join(graph, able.select("pattern", "_n"), "pattern"), "able-graph")
+    instances = graph.groupBy("value").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("_n")).select("value", F.col("kind").isNotNull().cast("double").alias("score"), "_n")
     for _ in range(rounds):
         instances = scratch.stash(instances, "instances")
-        scored = graph.join(instances, "value")
         weight = F.log1p("n")
-        patterns = scored.groupBy("pattern").agg((F.sum(F.col("score") * weight) / F.sum(weight)).alias("confidence"), F.count("kind").alias("seeds"), F.max("kind").alias("takes"), F.min("kind").alias("least")).where(f"seeds >= {SUPPORT} AND takes = least")
-        patterns = scratch.stash(patterns.select("pattern", "confidence", "takes"), "patterns")
-        reached = graph.join(patterns, "pattern", "left").groupBy("value").agg(F.max("kind").alias("kind"), F.coalesce(1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence"))))), F.lit(0.0)).alias("reach"))
-        instances = reached.select("value", F.when(F.col("kind").isNotNull(), F.lit(1.0)).otherwise(F.col("reach")).alias("score"))
-    instances = scratch.stash(instances.where(f"score >= {BELIEVED}"), "believed")
-    sure = scratch.stash(patterns.where(f"confidence >= {CONFIDENCE}"), "sure")
-    new = mentions.where("kind IS NULL AND NOT refused").join(sure, "pattern").join(instances.select("value"), "value")
+        patterns = hot_join(graph, instances, "value").groupBy("pattern").agg((F.sum(F.col("score") * weight) / F.sum(weight)).alias("confidence"), F.count(F.lit(1)).alias("_n"))
+        patterns = scratch.stash(patterns, "patterns")
+        reach = 1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))
+        reached = hot_join(graph, patterns, "pattern").groupBy("value").agg(F.max("kind").alias("kind"), reach.alias("reach"), F.count(F.lit(1)).alias("_n"))
+        instances = reached.select("value", F.when(F.col("kind").isNotNull(), F.lit(1.0)).otherwise(F.col("reach")).alias("score"), "_n")
+    believed = scratch.stash(instances.where(f"score >= {BELIEVED}").select("value", "_n"), "believed")
+    sure = scratch.stash(patterns.where(f"confidence >= {CONFIDENCE}").drop("_n").join(able.select("pattern", "takes", "_m"), "pattern"), "sure")
+    new = hot_join(hot_join(mentions.where("kind IS NULL AND NOT refused"), sure, "pattern", "_m"), believed, "value")
     new = new.groupBy("key", "start", "end").agg(F.max_by("takes", F.struct("confidence", "takes")).alias("takes"))
     one = F.struct(F.col("start"), F.lit(len(KINDS)).alias("order"), F.col("takes").alias("kind"), F.col("end"))
     return scratch.stash(new.groupBy("key").agg(F.collect_set(one).alias("extra")), "extra")

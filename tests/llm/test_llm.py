@@ -272,6 +272,28 @@ def test_personal_data_finds_unseen_identifiers(spark, scratch):
     assert by_id(personal_data.mask(d, scratch))[302].text == "then <EMAIL> replied"
 
 
+def test_personal_data_patterns_are_whole_and_poor_ones_add_nothing(spark, scratch):
+    """Contexts and shapes are told apart to their end, however long; a pattern whose seeds are outnumbered isn't believed."""
+    long, other = "w" * 90 + "a", "w" * 90 + "b"
+    rows = [(i, f"{sentence(2, 600 + i)} {long} +1 (4{i:02d}) 555-1{i:03d} {sentence(2, 650 + i)}", *[None] * 8) for i in range(12)]
+    rows += [(100, f"x {long} 377-555-0273 y", *[None] * 8), (101, f"x {other} 377-555-0273 y", *[None] * 8)]
+    rows += [(200 + i, f"{sentence(2, 500 + i)} maybe +1 (3{i:02d}) 555-2{i:03d} {sentence(2, 550 + i)}", *[None] * 8) for i in range(8)]
+    rows += [(300 + i, f"{sentence(2, 400 + i)} maybe 5{i:02d}-555-7{i:03d} {sentence(2, 450 + i)}", *[None] * 8) for i in range(60)]
+    got = by_id(personal_data.find(documents(spark, rows), scratch))
+    assert [len(got[i].spans) for i in (100, 101)] == [1, 0]
+    assert all(len(got[200 + i].spans) == 1 for i in range(8)) and all(got[300 + i].spans == [] for i in range(60))
+
+
+def test_hot_keys_join_like_others(spark):
+    from rulewright.llm import common
+
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(6000)], "k long, v long")
+    unique = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"), F.max("v").alias("top"))
+    assert unique.where(f"_n > {common.HOT_LEAST}").count() == 1
+    got = common.hot_join(rows, unique, "k")
+    assert got.columns == ["k", "v", "top"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(unique.drop("_n"), "k").collect()))
+
+
 def test_secrets_and_ledger(spark, docs, scratch):
     rules = [re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
     ok = [lambda m: len(m[1]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24]
