@@ -1,13 +1,14 @@
 r"""Quality rules with cross-document line frequency, in DataFrame operations only.
 
 Counts over each whole text give the base rules.  Normalised lines are hashed and
-counted by the distinct texts of their host that hold them; lines above the host's limit
+counted by the distinct documents of their host that hold them; lines above the host's limits
 are boilerplate and are taken out; a document that keeps too small a share of its words is
 rejected.
 
 Defined results: a null text has no words and fails the base; a null host is a host of its
-own; exact copies of a text are one document for line frequency and get equal results; rows without
-doc_id take part; an empty table gives an empty result.  Extra columns are ignored by ``judge``.
+own; a document is a host, doc_id and text, so exact copies under ids of their own count each, and repeated
+rows of one document count once and get equal results; rows without doc_id take part; an empty table gives
+an empty result.  Extra columns, whatever their names, are ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread
+from .common import Scratch, hot_join, spread
 from .mixing import words_in
 
-#: A line is boilerplate if more texts of its host hold it than this share of them, and than this many.
-LINE_SHARE, LINE_LEAST = 0.05, 20
+#: A line is boilerplate if more documents of its host hold it than LEAST and than SHARE of them, or, whatever
+#: their share, than MOST, as in very large hosts, or in a small host than SMALL and than half of them.
+SHARE, LEAST, MOST, SMALL = 0.01, 20, 1000, 4
 #: A document that keeps a smaller share of its words is depleted.
 KEPT_SHARE = 0.5
 SPACE = " \t\n\x0b\f\r"
@@ -64,13 +66,13 @@ def _line_key(line: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (of host and text), lines (hash by host, words) and the base counts, from one pass over the texts."""
+    """doc_id, source, key (128 bits of host, doc_id and text), lines (hash by host, words) and the base counts, from one pass over the texts."""
     t = docs.select("doc_id", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     t = t.select("doc_id", "source", "t", _words(F.col("t")).alias("words"), F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("full"))
     lines = F.transform("full", lambda x: F.struct(F.xxhash64(F.col("source"), F.col("source").isNull(), _line_key(x)).alias("hash"), words_in(x).alias("words")))
     return t.select(
         "doc_id", "source",
-        F.xxhash64("source", F.col("source").isNull(), "t").alias("key"),
+        F.unhex(F.md5(F.concat_ws("\t", F.col("source").isNull().cast("string"), "source", F.col("doc_id").cast("string"), "t").cast("binary"))).alias("key"),
         lines.alias("lines"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"),
@@ -80,24 +82,22 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, scratch: Scratch, line_share: float = LINE_SHARE, line_least: int = LINE_LEAST, kept_share: float = KEPT_SHARE, line_most: int | None = None) -> DataFrame:
-    """With ``line_most``, a line that more texts of its host hold is boilerplate whatever its share, in hosts of any size.
-
-    doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept: a row per row."""
+def judge(docs: DataFrame, scratch: Scratch, share: float = SHARE, least: int = LEAST, most: int = MOST, small: int = SMALL, kept_share: float = KEPT_SHARE) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boilerplate_words, kept: a row per row."""
     t = scratch.stash(measure(docs), "measures")
     rows = t.select("source", "key", F.explode("lines").alias("l")).select("source", "key", "l.hash", "l.words")
     lines = scratch.stash(rows.groupBy("source", "key", "hash").agg(F.sum("words").alias("all")), "lines")
-    copies = t.groupBy("source", "key").agg(F.count(F.lit(1)).alias("copies"))
-    hosts = scratch.stash(copies.groupBy("source").agg(F.count(F.lit(1)).alias("texts")).select(F.col("source").alias("host"), "texts"), "hosts")
-    counted = lines.groupBy("source", "hash").agg(F.count(F.lit(1)).alias("holding")).where(F.col("holding") > (line_least if line_most is None else min(line_least, line_most)))
-    above = (F.col("holding") > line_least) & (F.col("holding") > line_share * F.col("texts"))
-    above = above if line_most is None else above | (F.col("holding") > line_most)
-    often = counted.join(hosts, counted["source"].eqNullSafe(hosts["host"])).where(above).select("hash").distinct()
+    copies = scratch.stash(t.groupBy("source", "key").agg(F.count(F.lit(1)).alias("copies")), "rows-by-document")
+    hosts = scratch.stash(copies.groupBy("source").agg(F.count(F.lit(1)).alias("documents")).select(F.col("source").alias("host"), "documents"), "hosts")
+    counted = lines.groupBy("source", "hash").agg(F.count(F.lit(1)).alias("holding")).where(F.col("holding") > min(least, most, small))
+    n = F.col("holding")
+    above = ((n > least) & (n > share * F.col("documents"))) | (n > most) | ((n > small) & (n > 0.5 * F.col("documents")))
+    often = counted.join(hosts, counted["source"].eqNullSafe(hosts["host"])).where(above).groupBy("hash").agg(F.sum("holding").alias("_n"))
     often = scratch.stash(often, "boilerplate")
-    # A text's copies have all been summed; dividing by their number gives one text's words.
-    removed = lines.join(often, "hash").groupBy("source", "key").agg(F.sum("all").alias("all")).join(copies.withColumnRenamed("source", "s").withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")))
-    removed = scratch.stash(removed.select(F.col("key").alias("k"), F.col("source").alias("s"), F.floor(F.col("all") / F.col("copies")).cast("long").alias("boilerplate_words")), "removed")
-    out = t.drop("lines").join(removed, (t["key"] == removed["k"]) & t["source"].eqNullSafe(removed["s"]), "left").fillna({"boilerplate_words": 0})
+    # A document's rows have all been summed; dividing by their number gives the document's words.
+    removed = hot_join(lines.select("key", "hash", "all"), often, "hash").groupBy("key").agg(F.sum("all").alias("all")).join(copies.select("key", "copies"), "key")
+    removed = scratch.stash(removed.select("key", F.floor(F.col("all") / F.col("copies")).cast("long").alias("boilerplate_words")), "removed")
+    out = t.drop("lines", "source").join(removed, "key", "left").fillna({"boilerplate_words": 0})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("boilerplate_words") < kept_share * F.col("n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "boilerplate_words", (~failed & ~depleted).alias("kept"))

@@ -59,15 +59,17 @@ again AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g)
 cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY 1),
 line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM line WHERE regexp_matches(l, '{_WORD}') GROUP BY 1),
-texts AS (SELECT DISTINCT source, t FROM d),
-norm AS (SELECT source, t, regexp_replace(regexp_replace(lower(trim(l)), '[ 	-]+', ' ', 'g'), '[0-9]+', '0', 'g') AS k, len(regexp_extract_all(l, '{_WORD}')) AS n
-    FROM (SELECT source, t, unnest(string_split(t, chr(10))) AS l FROM texts) WHERE regexp_matches(l, '{_WORD}')),
-held AS (SELECT source, t, k, sum(n) AS n FROM norm GROUP BY ALL),
-often AS (SELECT h.source, k FROM (SELECT source, k, count(*) AS c FROM held GROUP BY ALL) h JOIN (SELECT source, count(*) AS c FROM texts GROUP BY 1) x ON h.source IS NOT DISTINCT FROM x.source WHERE h.c > 20 AND h.c > 0.05 * x.c),
-gone AS (SELECT h.source, t, sum(n) AS n FROM held h JOIN often o ON h.k = o.k AND h.source IS NOT DISTINCT FROM o.source GROUP BY ALL),
-f AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(w.t, '[ 	-]', '', 'g')) AS word_chars, length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+docs AS (SELECT DISTINCT source, doc_id, t FROM d),
+norm AS (SELECT source, doc_id, t, regexp_replace(regexp_replace(lower(trim(l)), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g') AS k, len(regexp_extract_all(l, '{_WORD}')) AS n
+    FROM (SELECT *, unnest(string_split(t, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '{_WORD}')),
+held AS (SELECT source, doc_id, t, k, sum(n) AS n FROM norm GROUP BY ALL),
+often AS (SELECT h.source, k FROM (SELECT source, k, count(*) AS c FROM held GROUP BY ALL) h JOIN (SELECT source, count(*) AS c FROM docs GROUP BY 1) x ON h.source IS NOT DISTINCT FROM x.source
+    WHERE (h.c > 20 AND h.c > 0.01 * x.c) OR h.c > 1000 OR (h.c > 4 AND h.c > 0.5 * x.c)),
+gone AS (SELECT h.source, doc_id, t, sum(n) AS n FROM held h JOIN often o ON h.k = o.k AND h.source IS NOT DISTINCT FROM o.source GROUP BY ALL),
+f AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(w.t, '[ 	-
+]', '', 'g')) AS word_chars, length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
         coalesce(dup.n, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS boilerplate_words
-    FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN gone ON gone.t = w.t AND gone.source IS NOT DISTINCT FROM w.source)
+    FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.t = w.t AND gone.source IS NOT DISTINCT FROM w.source)
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_words - boilerplate_words < 0.5 * n_words) AS kept FROM f""",
     "op9_minhash_dedup": rf"""

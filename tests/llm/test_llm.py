@@ -329,17 +329,19 @@ def test_quality_rules_base_and_lines(spark, docs, scratch):
     assert all(r.boilerplate_words == 60 and r.kept == (i % 2 == 0) for i, r in judged.items())
 
 
-def test_quality_rules_absolute_limit(spark, scratch):
-    """Boilerplate of a hot host, where 5 % is out of reach, and of a host of 12 texts."""
+def test_quality_rules_limits(spark, scratch):
+    """Boilerplate of a large host, of small ones and of copies goes; repeated rows of one document count once."""
     line = sentence(60, 5)
-    rows = [(i, (f"{line}\n" if i < 15 else "") + sentence(55, 2000 + i), "en", "hot", *[None] * 6) for i in range(400)]
-    rows += [(500 + i, f"{line}\n{sentence(55, 3000 + i)}", "en", "small", *[None] * 6) for i in range(12)] + [(600 + i, f"{line}\n{sentence(55, 3100 + i)}", "en", "few", *[None] * 6) for i in range(5)]
-    rows += [(700 + i, f"{line}\n{sentence(55, 3200)}", "en", "copies", *[None] * 6) for i in range(30)]
+    rows = [(i, (f"{line}\n" if i < 25 else "") + sentence(55, 2000 + i), "en", "large", *[None] * 6) for i in range(1500)]
+    rows += [(2000 + i, f"{line}\n{sentence(55, 3000 + i)}", "en", "small", *[None] * 6) for i in range(5)] + [(2100 + i, f"{line}\n{sentence(55, 3100 + i)}", "en", "few", *[None] * 6) for i in range(4)]
+    rows += [(2200 + i, f"{line}\n{sentence(55, 3200)}", "en", "copies", *[None] * 6) for i in range(30)]
+    rows += [(2300, f"{line}\n{sentence(55, 3300)}", "en", "repeated", *[None] * 6)] * 30
     d = documents(spark, rows)
-    assert all(r.boilerplate_words == 0 for r in quality_rules.judge(d, scratch).collect())
-    got = by_id(quality_rules.judge(d, scratch, line_most=10))
-    assert {i for i, r in got.items() if r.boilerplate_words == 60 and not r.kept} == {*range(15), *range(500, 512)}
-    assert all(got[i].kept for i in [*range(15, 400), *range(600, 605), *range(700, 730)])
+    got = by_id(quality_rules.judge(d, scratch))
+    assert {i for i, r in got.items() if r.boilerplate_words >= 60 and not r.kept} == {*range(25), *range(2000, 2005), *range(2200, 2230)}
+    assert all(r.boilerplate_words == 0 and r.kept for i, r in got.items() if 25 <= i < 1500 or i in {*range(2100, 2104), 2300})
+    few = by_id(quality_rules.judge(d, scratch, share=0.5, most=24, small=100))
+    assert {i for i, r in few.items() if not r.kept} == {*range(25), *range(2200, 2230)}
 
 
 def test_quality_classifier_learns_from_votes(spark, scratch):
