@@ -22,6 +22,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 128
 #: Bytes and rows of one Arrow batch, so that long texts keep a worker's memory bounded.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
+#: Spark's setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,12 +87,19 @@ class Scratch:
         self.spark, self.at = spark, f"{shared_dir(spark)}/rulewright-{uuid.uuid4().hex}"
         bound_batches(spark)
         self.n = 0
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)  # results may be read until the driver ends
 
     def stash(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` and returns the written table."""
+        """Writes ``df`` and returns the written table.  The shuffle files of the writing job go when it ends, for nothing reads them again."""
         self.n += 1
         path = f"{self.at}/{self.n:02d}-{name}"
-        df.write.parquet(path)
+        was = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if was is None else self.spark.conf.set(CLEANUP, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -101,11 +110,6 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps now instead of at some later collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict, list[tuple[int, int]]]]:
     """Splits a stream sorted by ``keys`` (non-null longs) at key changes.  Yields

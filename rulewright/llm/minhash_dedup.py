@@ -211,14 +211,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
         x = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"x{s}"))
         out = scratch.stash(pairs.join(x("a"), "a").join(x("b"), "b").select("a", "b", "xa", "xb").mapInArrow(trimmed(_confirm(percent)), "a long, b long").distinct(), name)
         scratch.drop(need, sets)
-        scratch.release()
         return out
 
     def sets_of(need: DataFrame, name: str) -> DataFrame:
         """The full sets of the given nodes, read from their texts again."""
         texts = base.join(need, base.doc_id == need.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
         out = scratch.stash(texts.mapInArrow(trimmed(_sets(k)), "node long, shingles binary").where(F.length("shingles") > 0), name)
-        scratch.release()
         return out
 
     # First the most promising representatives of each node; they connect nearly all that is connected.
@@ -230,7 +228,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     links = scratch.stash(first.join(x("a"), "a").join(x("b"), "b").select("a", "b", "xa", "xb").mapInArrow(trimmed(_confirm(percent)), "a long, b long").distinct(), "links")
     comp = scratch.stash(components(links, scratch), "components")
     scratch.drop(sets, star)
-    scratch.release()
 
     # Then every pair that a chain of shared buckets connects across components, in block pairs.
     family = scratch.stash(components(hubs, scratch).withColumnRenamed("component", "family"), "families")

@@ -83,7 +83,6 @@ def scan(versions: DataFrame, ledger: DataFrame | None, scratch: Scratch, rules:
         done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("seen"))
         blobs = blobs.join(done, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>"))).where(F.size(F.array_except(want, F.col("seen"))) > 0)
     fresh = scratch.stash(blobs.mapInArrow(_scanner(rules), LEDGER), "ledger")
-    scratch.release()
     asked = F.array_contains(want, F.concat_ws(":", "kind", "version"))
     every = fresh if ledger is None else ledger.select("blob", "kind", "version", "found").unionByName(fresh)
     hits = every.where((F.size("found") > 0) & asked).groupBy("blob").agg(F.flatten(F.collect_set("found")).alias("found"))

@@ -179,11 +179,52 @@ def test_suffix_sort_order():
     order = s.order(np.zeros(len(at), np.int64), np.full(len(at), len(at)))
     cut = [bytes(data[at[i] : at[i] + room[i]]) for i in order]
     assert cut == sorted(cut)
-    ext = s.verified_extensions(order)
+    ext = s.extensions(order, np.arange(len(at)) == 0)
+    assert s.extensions(order[::-1], np.arange(len(at)) == 0) is None
     for x, y, n in zip(cut, cut[1:], ext[1:], strict=False):
         assert x[:n] == y[:n] and (n == min(len(x), len(y)) or x[n] != y[n])
 
 
+def test_suffix_sort_survives_colliding_hashes(monkeypatch):
+    """With hashes that say nothing, the proof by bytes fails and the bytes themselves are sorted."""
+    data = np.frombuffer(b"banana_bandana_banner_ban" * 3, np.uint8)
+    at, n = np.arange(len(data)), len(data)
+    s = suffix_dedup.SuffixSort(data, at, np.minimum(n - at, 30), 3)
+    want, ext = s.sorted(np.zeros(n, np.int64), np.full(n, n))
+    monkeypatch.setattr(suffix_dedup.Hashes, "of", lambda self, sums, at, n: np.zeros(len(at), np.uint64))
+    got, again = s.sorted(np.zeros(n, np.int64), np.full(n, n))
+    cut = lambda order: [bytes(data[i : i + 30]) for i in order]
+    assert cut(got) == cut(want) and np.array_equal(ext, again)
+
+
+@pytest.mark.parametrize("many", [96, 1])
+def test_suffix_collisions_are_found_by_bytes(spark, scratch, many, monkeypatch):
+    """Chunk and window hashes of 3 bits collide everywhere; the run digests tell, and the next draw is right."""
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    draws, attempt = [], suffix_dedup._attempt
+    monkeypatch.setattr(suffix_dedup, "_attempt", lambda *a: (draws.append(a[4]), attempt(*a))[1])
+    shared = sentence(60, 51)
+    rows = [(i, sentence(12, 700 + i) + shared[: 130 + 9 * i] + sentence(9, 800 + i)) for i in range(12)] + [(50, sentence(60, 3)), (51, sentence(60, 3) + "x")]
+    got = by_id(suffix_dedup.remove_repeats(documents(spark, [(i, t, *[None] * 8) for i, t in rows]), scratch, bits=3))
+    assert {i: bytes(r.kept) for i, r in got.items()} == brute_suffix(rows) and draws == [0, 1]
+
+
+def test_suffix_long_texts_and_odd_rows(spark, scratch):
+    """A text of several pieces, a repeat across a cut, repeated rows of one document, and two texts under one id."""
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefgh") for _ in range(suffix_dedup.PIECE + 300_000))
+    cut = suffix_dedup.PIECE
+    rows = [(1, long), (2, "pre " + long[cut - 400 : cut + 400] + " post"), (3, long[:250] + long[cut - 50 : cut + 130])]
+    same, other = sentence(60, 21) + " own", sentence(60, 21) + " its"
+    d = documents(spark, [(i, t, *[None] * 8) for i, t in [*rows, (7, same), (7, same), (8, other), (8, other), (9, sentence(40, 22)), (9, sentence(40, 23)), (10, sentence(40, 23))]])
+    got = suffix_dedup.remove_repeats(d, scratch).collect()
+    want = brute_suffix([*rows, (7, same), (8, other)])
+    for row in got:
+        if row.doc_id < 9:
+            assert bytes(row.kept) == want[row.doc_id], row.doc_id
+    assert sorted(row.n_removed for row in got if row.doc_id == 9) == [0, 0] and [row.n_removed for row in got if row.doc_id == 10] == [len(sentence(40, 23).encode())]
+
+
 def test_bpe_is_tiktoken(docs):
     import public_tokenizers as P
     import tiktoken
