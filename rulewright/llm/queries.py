@@ -51,6 +51,12 @@ f AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n0, count(*) FILTER (ord = 1)
         string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, ord) AS spans FROM s WHERE vn >= least GROUP BY 1)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN f USING (doc_id)""",
+    "op7_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY 1),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT y, root FROM r JOIN l ON x = r.vec_id WHERE root < y)
+SELECT vec_id, coalesce(n, 0) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept FROM r LEFT JOIN n ON x = vec_id GROUP BY vec_id, n""",
     "op8_quality_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS ws FROM d),

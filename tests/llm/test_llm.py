@@ -463,6 +463,43 @@ def test_embeddings_against_brute_force(spark, scratch):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>"), scratch).count() == 0
 
 
+def closure(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def test_embeddings_dense_group(spark, scratch):
+    """A group of more unlike vectors than one block holds, beside strangers: every link counts once, whatever cells and blocks a pair shares."""
+    r = np.random.default_rng(5)
+    core = r.standard_normal(24)
+    x = np.concatenate([core + 0.28 * r.standard_normal((700, 24)), r.standard_normal((150, 24)), 2 * core[None] + 0.1 * r.standard_normal((1, 24))])
+    d = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(d, scratch).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    want, have = near.sum(1) - 1, np.array([got[i].n_links for i in range(len(x))])
+    assert (have <= want).all() and have.sum() >= 0.97 * want.sum() and want.sum() > 200_000
+    root = closure(len(x), [(a, b) for a in range(len(x)) for b in np.flatnonzero(near[a, :a])])
+    assert np.mean([got[i].component_id == root[i] for i in range(len(x))]) > 0.97
+
+
+def test_embeddings_odd_rows(spark, scratch):
+    """Null and repeated ids, unlike lengths, columns of clashing names."""
+    a, b = [1.0, 0.2, 0.1, 0.0], [1.0, 0.21, 0.1, 0.0]
+    rows = [(1, a, 7, 8, b"r"), (1, a, 7, 8, b"r"), (2, b, 7, 8, b"r"), (None, a, 7, 8, b"r"), (None, [0.0, 0.0, 1.0, 0.0], 7, 8, b"r"), (3, a[:3], 7, 8, b"r"), (4, [1e-300, 0.0, 0.0, 1e300], 7, 8, b"r"), (5, [0.0, 0.0, 0.0, 2.5], 7, 8, b"r"), (None, None, 7, 8, None), (6, [float("inf"), 1.0], 7, 8, b"r")]
+    out = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node long, cell long, raw binary"), scratch).collect()
+    assert sorted([tuple(r) for r in out], key=repr) == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, True), (None, 0, None, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (None, 0, None, True), (6, 0, 6, True)], key=repr)
+
+
 def test_toxicity_swaps(spark, scratch):
     r = random.Random(4)
     rows, labels = [], []
