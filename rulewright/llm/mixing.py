@@ -8,7 +8,7 @@ every document whole some times and the threshold decides on one more.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own,
 last in order; rows with equal doc_id share a hash and so a decision; rows without doc_id
-likewise; an empty table gives an empty result.  Extra columns are ignored by ``plan`` and carried by ``mix``.
+likewise; an empty table gives an empty result.  Extra columns, whatever their names, are ignored by ``plan`` and carried by ``mix``.
 """
 
 from __future__ import annotations
@@ -98,10 +98,9 @@ def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = WEIGHTS, m
     rows = scratch.stash(docs.select("source", words_in(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h")), "sizes")
     goal = scratch.stash(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     at = _thresholds(rows, goal, scratch)
-    at = at.select("_source", F.col("full").alias("_full"), F.col("threshold").alias("_threshold"))
-    copies = F.col("_full") + (hash_of(docs["doc_id"]) <= F.col("_threshold")).cast("long")
-    taken = docs.join(at, docs["source"].eqNullSafe(at["_source"])).withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["source"].alias("s"), hash_of(docs["doc_id"]).alias("h"))
+    taken = held.join(at, held["s"].eqNullSafe(at["_source"])).withColumn("copies", (F.col("full") + (F.col("h") <= F.col("threshold")).cast("long")).cast("int")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ once per blob, appends to the ledger, and joins findings back to all paths.
 
 Defined results: a null text counts as the empty blob; rows are (path, version) pairs and each gets its
 blob's findings, repeated rows and null paths included; an empty table gives an empty
-result.  Positions count code points, ends are exclusive.  Extra columns are ignored.
+result.  Positions count code points, ends are exclusive.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -92,12 +92,26 @@ def scan(versions: DataFrame, ledger: DataFrame | None, scratch: Scratch, rules:
     return out, fresh
 
 
+def scan_pushes(pushes: list[DataFrame], ledger: DataFrame | None, scratch: Scratch, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """A history that arrives in pushes: each scans only the (blob, rule version) pairs that no push before it and
+    no row of ``ledger`` has.  Returns (findings of all pushes, ledger)."""
+    every: DataFrame | None = None
+    for push in pushes:
+        found, fresh = scan(push, ledger, scratch, rules)
+        ledger = fresh if ledger is None else ledger.select("blob", "kind", "version", "found").unionByName(fresh)
+        every = found if every is None else every.unionByName(found)
+    return every, ledger
+
+
 def text_of(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found, _ = scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None, Scratch(spark))
+    """All documents, as a history of two pushes told apart by a hash: the second finds the blobs of the first in the ledger."""
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    late = F.xxhash64("doc_id") < 0
+    found, _ = scan_pushes([docs.where(~late), docs.where(late)], None, Scratch(spark))
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = text_of(F.col("found"))
     return found.select("doc_id", *(of(r.kind) for r in RULES), F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))

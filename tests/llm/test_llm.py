@@ -14,6 +14,8 @@ from rulewright.llm import byte_bpe, embedding_dedup, minhash_dedup, mixing, per
 from rulewright.llm.common import Scratch, components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Names that the operators use inside, and that no table's columns may disturb.
+CLASHES = ["_full", "_threshold", "_copies", "_copy", "_source", "row", "full", "threshold", "h", "copies", "s", "at", "count", "pattern", "value", "_row", "_t", "base", "spans", "doc", "tag", "unit", "raw", "cell", "hash", "host", "_gone", "_id", "held_out", "score", "toxic", "comp", "family", "sig"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, node long, target double, bucket long"
 rng = random.Random(5)
 VOCABULARY = ["".join(rng.choice("abcdeérst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
@@ -81,6 +83,18 @@ def test_empty_and_odd_rows(spark, scratch, name):
         assert out.columns == odd(spark).columns
 
 
+@pytest.mark.parametrize("name", ["quality", "good", "bpe", "plan", "mix", "pii", "mask", "secrets", "suffix", "rules", "toxicity", "minhash", "dedup"])
+def test_clashing_columns(spark, scratch, name):
+    """Extra columns with names of the operators' own change nothing, and are carried where rows are carried."""
+    plain = documents(spark, [(i, t, "en", f"s{i % 2}", None, "k", 1, 2, 0.5, 3) for i, t in enumerate([sentence(60, 9), sentence(60, 9) + " tail", None, "short", sentence(70, 10)])]).select("doc_id", "text", "lang", "source", "n_chars")
+    clash = plain.select("*", *(F.lit(7).alias(c) for c in CLASHES))
+    f = operators(scratch)[name]
+    a, b = f(plain), f(clash)
+    assert sorted(map(tuple, b.select(a.columns).collect()), key=repr) == sorted(map(tuple, a.collect()), key=repr)
+    if name in ("good", "mix", "mask", "dedup"):
+        assert b.columns == clash.columns
+
+
 def test_minhash_links(docs, scratch):
     got = by_id(minhash_dedup.near_duplicates(docs, scratch, k=2))
     sets = {}
@@ -350,6 +364,19 @@ def test_secrets_and_ledger(spark, docs, scratch):
     assert {(r.kind, r.version) for r in rescanned.collect()} == {("hex", 2)}
 
 
+def test_pushes_scan_only_unseen_blobs(spark, docs, scratch):
+    """Two pushes and a newer rule: no (blob, rule version) pair is scanned twice, and findings are those of one scan."""
+    whole = {i: r.found for i, r in by_id(secret_scan.scan(docs, None, scratch)[0]).items()}
+    found, ledger = secret_scan.scan_pushes([docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")], None, scratch)
+    assert {i: r.found for i, r in by_id(found).items()} == whole
+    pairs = [(bytes(r.blob), r.kind, r.version) for r in ledger.collect()]
+    assert len(pairs) == len(set(pairs)) == 3 * len({(t or "") for t in texts()})
+    newer = (*secret_scan.RULES[:2], secret_scan.Rule("hex", 2, "[0-9a-f]{8,}", 8))
+    found, after = secret_scan.scan_pushes([docs], ledger, scratch, newer)
+    assert after.count() == len(pairs) // 3 * 4
+    assert {(s.kind) for r in found.collect() for s in r.found} <= {"assign", "access", "hex"}
+
+
 def test_quality_rules_base_and_lines(spark, docs, scratch):
     got = by_id(quality_rules.judge(docs, scratch))
     for i, t in enumerate(texts()):
