@@ -4,13 +4,16 @@ Many universal hash minima per document, banded into buckets; bucket members are
 linked to a few representatives, links are checked on signatures and confirmed on
 full shingle sets; components come from alternating large-star and small-star.
 What stays in different components inside a bucket is compared in full, in block
-pairs, so no link between different texts is lost to the choice of representatives.
+pairs of that bucket: a pair belongs to the first band it shares, signatures show which rows
+need their sets, and only those rows travel with them.  So no link between different texts is
+lost to the choice of representatives, and no pairs are given out but links that join components.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and is
-its own component; rows of one normalised text form one class; rows that share a
-doc_id are one node; a row without doc_id joins its text's class, and if no row of that
-text has an id its component is null and it is kept.  Extra columns are ignored by
-``near_duplicates`` and carried by ``deduplicate``.
+its own component; rows of one normalised text form one class, whose node is its smallest doc_id; rows that
+share a doc_id but not a text are nodes of their own texts that count as one document; a row without doc_id
+joins its text's class, and if no row of that text has an id its component is null and it is kept.
+Extra columns, whatever their names, are ignored by ``near_duplicates`` and carried by ``deduplicate``,
+which keeps one row of each class, repeated rows and rows without doc_id included.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import Scratch, components, groups, split_blocks, spread, trimmed
+from .common import Scratch, components, groups, hot_join, split_blocks, spread, trimmed
 
 BANDS, ROWS = 32, 5
 #: Signature agreement below this rules a pair out: five standard deviations under the threshold.
@@ -80,6 +84,11 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def text_key(words: list[bytes]) -> bytes:
+    """128 bits of the normalised text."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _signatures(k: int, bands: int, rows: int):
     a, b = hash_family(bands * rows)
 
@@ -89,7 +98,7 @@ def _signatures(k: int, bands: int, rows: int):
             key, n, sig = [], [], []
             for text in batch.column("text").to_pylist():
                 words = normal_words(text)
-                h = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                h = text_key(words)
                 if h not in seen:
                     if len(seen) > 5_000:
                         seen.clear()
@@ -103,16 +112,22 @@ def _signatures(k: int, bands: int, rows: int):
     return run
 
 
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(signatures, bands) of bucket keys, no two bands with the same ones."""
+    s = sig.reshape(len(sig), bands, rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _M1, s.shape[:2]).copy()
+    for i in range(rows):
+        h = _mix(h * _M2 + s[:, :, i])
+    return h.view(np.int64)
+
+
 def _band_rows(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = batch.column("sig").to_pylist()
-            s = np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), bands, rows).astype(np.uint64)
-            h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _M1, s.shape[:2]).copy()
-            for i in range(rows):
-                h = _mix(h * _M2 + s[:, :, i])
+            h = band_keys(np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), bands * rows), bands, rows)
             ids = np.repeat(batch.column("node").to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.ravel().view(np.int64))], ["node", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.ravel())], ["node", "bucket"])
 
     return run
 
@@ -127,26 +142,60 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est, pa.float64())], ["a", "b", "est"])
 
 
-def _cross(least: float, percent: int):
-    """Links between different components inside a block pair of a family: signatures
-    rule most pairs out, full sets confirm the rest, and a pair whose components a
-    link found here has joined already needs no test."""
+def _shared_first(bands: np.ndarray, a: np.ndarray, b: np.ndarray, bucket: int) -> np.ndarray:
+    """Of pairs of rows, those whose first shared band is ``bucket``."""
+    same = bands[a] == bands[b]
+    return bands[a, same.argmax(axis=1)] == bucket
+
+
+def _candidates(cols: dict, s: int, e: int, bands: int, rows: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a block pair that lie in different components, agree on enough minima and share no earlier band."""
+    comp, left = cols["comp"][s:e], cols["left"][s:e].astype(bool)
+    if (comp == comp[0]).all():
+        return
+    own = cols["bi"][s] == cols["bj"][s]
+    sig = np.frombuffer(b"".join(cols["sig"][s:e]), np.uint32).reshape(e - s, -1)
+    keys, right = band_keys(sig, bands, rows), np.flatnonzero(left if own else ~left)
+    for i in np.flatnonzero(left):
+        near = right[right < i] if own else right
+        near = near[comp[near] != comp[i]]
+        near = near[(sig[near] == sig[i]).mean(axis=1) >= least]
+        near = near[_shared_first(keys, near, np.full(len(near), i), cols["bucket"][s])]
+        if len(near):
+            yield i, near
+
+
+def _flag(least: float, bands: int, rows: int):
+    """(node, bucket) of the rows that have a candidate in a block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, bounds in groups(batches, ["bucket", "bi", "bj"]):
+            out = []
+            for s, e in bounds:
+                hit = np.zeros(e - s, bool)
+                for i, near in _candidates(cols, s, e, bands, rows, least):
+                    hit[i] = True
+                    hit[near] = True
+                out.append(s + np.flatnonzero(hit))
+            at = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(cols["node"][at]), pa.array(cols["bucket"][at])], ["node", "bucket"])
+
+    return run
+
+
+def _cross(least: float, percent: int, bands: int, rows: int):
+    """Links between different components inside a block pair of a bucket: full sets decide on the
+    candidates, and a pair whose components a link found here has joined already needs no test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, bounds in groups(batches, ["family", "bi", "bj"]):
+        for cols, bounds in groups(batches, ["bucket", "bi", "bj"]):
             out_a, out_b = [], []
             for s, e in bounds:
-                comp = cols["comp"][s:e].copy()
-                if (comp == comp[0]).all():
-                    continue
-                left, node = cols["left"][s:e].astype(bool), cols["node"][s:e]
-                sig = np.frombuffer(b"".join(cols["sig"][s:e]), np.uint32).reshape(e - s, -1)
+                comp, node = cols["comp"][s:e].copy(), cols["node"][s:e]
                 sets = [np.frombuffer(x, np.uint64) for x in cols["shingles"][s:e]]
                 size = np.array([len(x) for x in sets])
-                right = np.flatnonzero(left if cols["bi"][s] == cols["bj"][s] else ~left)
-                for i in np.flatnonzero(left):
-                    near = right[comp[right] != comp[i]]
-                    near = near[(sig[near] == sig[i]).mean(axis=1) >= least]
+                for i, near in _candidates(cols, s, e, bands, rows, least):
+                    near = near[comp[near] != comp[i]]
                     if not len(near):
                         continue
                     others = np.concatenate([sets[j] for j in near])
@@ -166,8 +215,10 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _WordIds()
         for batch in batches:
-            sets = [shingle_set(normal_words(t), k, ids).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            words = [normal_words(t) for t in batch.column("text").to_pylist()]
+            key = [text_key(w) for w in words]
+            sets = [shingle_set(w, k, ids).tobytes() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(key, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "key", "shingles"])
 
     return run
 
@@ -190,34 +241,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows_of = scratch.stash(base.mapInArrow(trimmed(_signatures(k, bands, rows)), "doc_id long, key binary, n long, sig binary"), "signatures")
-    classes = scratch.stash(rows_of.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = scratch.stash(rows_of.where("n > 0").join(classes, "key").where("doc_id = node").groupBy("node", "key").agg(F.max("sig").alias("sig")), "nodes")
+    classes = scratch.stash(rows_of.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("_n")), "classes")
+    # A class's signature is that of its smallest doc_id's row; texts that share a doc_id are nodes of one name.
+    nodes = scratch.stash(rows_of.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key", "sig").join(classes.where("node IS NOT NULL").select("node", "key"), "key").where("doc_id = node").dropDuplicates(["key"]).select("node", "key", "sig"), "nodes")
 
-    buckets = scratch.stash(nodes.mapInArrow(trimmed(_band_rows(bands, rows)), "node long, bucket long"), "buckets")
+    buckets = scratch.stash(nodes.mapInArrow(trimmed(_band_rows(bands, rows)), "node long, bucket long").distinct(), "buckets")
     drawn = [F.min_by("node", F.xxhash64("node", "bucket", F.lit(i))).alias(f"r{i}") for i in range(DRAWN)]
-    reps = scratch.stash(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("r"), *drawn).where("c > 1").drop("c"), "representatives")
+    reps = scratch.stash(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("r"), *drawn).where("_n > 1"), "representatives")
     picked = F.explode(F.array_distinct(F.array("r", *(f"r{i}" for i in range(DRAWN)))))
-    star = buckets.join(reps, "bucket").select("node", picked.alias("rep")).where("node <> rep").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
+    star = hot_join(buckets, reps, "bucket").select("node", picked.alias("rep")).where("node <> rep").select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b")).distinct()
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}"))
-    hubs = scratch.stash(buckets.join(reps, "bucket").where("node <> r").select(F.col("node").alias("a"), F.col("r").alias("b")).distinct(), "hubs")
     star = scratch.stash(scratch.stash(star, "star").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(_agree), "a long, b long, est double").where(F.col("est") >= least), "candidates")
-    scratch.drop(reps)
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Of (a, b), the pairs whose full sets are similar enough.  Texts are fetched for the nodes of pairs alone."""
-        need = scratch.stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-nodes")
-        texts = base.join(need, base.doc_id == need.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
-        sets = scratch.stash(texts.mapInArrow(trimmed(_sets(k)), "node long, shingles binary").where(F.length("shingles") > 0), f"{name}-sets")
-        x = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"x{s}"))
-        out = scratch.stash(pairs.join(x("a"), "a").join(x("b"), "b").select("a", "b", "xa", "xb").mapInArrow(trimmed(_confirm(percent)), "a long, b long").distinct(), name)
-        scratch.drop(need, sets)
-        return out
 
     def sets_of(need: DataFrame, name: str) -> DataFrame:
-        """The full sets of the given nodes, read from their texts again."""
-        texts = base.join(need, base.doc_id == need.node, "left_semi").select(F.col("doc_id").alias("node"), "text")
-        out = scratch.stash(texts.mapInArrow(trimmed(_sets(k)), "node long, shingles binary").where(F.length("shingles") > 0), name)
-        return out
+        """The full sets of the given nodes, by node and text, read from their texts again."""
+        texts = base.join(need.select(F.col("node").alias("_need")), F.col("doc_id") == F.col("_need"), "left_semi")
+        sets = texts.mapInArrow(trimmed(_sets(k)), "doc_id long, key binary, shingles binary").where(F.length("shingles") > 0)
+        return scratch.stash(sets.join(nodes.select("key", "node"), "key").where("doc_id = node").select("node", "key", "shingles").dropDuplicates(["key"]), name)
 
     # First the most promising representatives of each node; they connect nearly all that is connected.
     mine = lambda i: F.pmod(F.xxhash64("b"), F.lit(PICKED)) == i
@@ -229,27 +269,54 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     comp = scratch.stash(components(links, scratch), "components")
     scratch.drop(sets, star)
 
-    # Then every pair that a chain of shared buckets connects across components, in block pairs.
-    family = scratch.stash(components(hubs, scratch).withColumnRenamed("component", "family"), "families")
-    labelled = family.join(comp, "node", "left").select("node", "family", F.coalesce("component", "node").alias("comp"))
+    # Then, in every bucket that holds several components, what lies in different ones: signatures say which rows need their sets.
+    labelled = buckets.join(reps.select("bucket"), "bucket", "left_semi").join(comp, "node", "left").select("node", "bucket", F.coalesce("component", "node").alias("comp"))
     labelled = scratch.stash(labelled, "labelled")
-    open_ = scratch.stash(labelled.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("family"), "open-families")
-    inside = scratch.stash(labelled.join(open_, "family"), "open-nodes")
-    held = scratch.stash(sets_of(inside.select("node"), "open-sets").join(nodes.select("node", "sig"), "node").groupBy("node").agg(F.max("sig").alias("sig"), F.max("shingles").alias("shingles")), "held")
-    dealt = scratch.stash(split_blocks(inside, "family", "node", scratch), "blocks").join(held, "node")
-    dealt = dealt.repartition(4 * max(1, dealt.sparkSession.sparkContext.defaultParallelism), "family", "bi", "bj").sortWithinPartitions("family", "bi", "bj")
-    more = scratch.stash(dealt.mapInArrow(trimmed(_cross(least, percent)), "a long, b long").distinct(), "more-links")
+    open_ = scratch.stash(labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo <> hi").select("bucket", "_n"), "open-buckets")
+    inside = scratch.stash(hot_join(labelled, open_, "bucket"), "open-rows")
+    scratch.drop(labelled, reps)
+    wide = 4 * max(1, docs.sparkSession.sparkContext.defaultParallelism)
+    deal = lambda d: d.repartition(wide, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    flagged = deal(split_blocks(inside, "bucket", "node", scratch).join(nodes.select("node", "sig"), "node")).mapInArrow(trimmed(_flag(least, bands, rows)), "node long, bucket long").distinct()
+    flagged = scratch.stash(flagged.join(inside, ["node", "bucket"]), "flagged")
+    held = scratch.stash(sets_of(flagged.select("node").distinct(), "flagged-sets").join(nodes.select("key", "sig"), "key").select("node", "sig", "shingles"), "held")
+    more = deal(split_blocks(flagged, "bucket", "node", scratch).join(held, "node")).mapInArrow(trimmed(_cross(least, percent, bands, rows)), "a long, b long").distinct()
+    more = scratch.stash(more, "more-links")
+    scratch.drop(inside, flagged, held)
     full = scratch.stash(components(links.unionByName(more), scratch), "all-components")
-    out = rows_of.select("doc_id", "key", "n").join(classes, "key", "left").join(full, "node", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    per = scratch.stash(classes.join(full, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"), "_n"), "classes-of-components")
+    some = hot_join(rows_of.where("n > 0").select("doc_id", "key", "n"), per, "key")
+    blank = rows_of.where("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id"))  # these share a key, but meet nobody
+    out = some.select("doc_id", "key", "n", "component_id").unionByName(blank)
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = [text_key(normal_words(t)) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(key, pa.binary())], ["row", "text", "key"])
 
 
 def deduplicate(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the one with the smallest doc_id."""
-    found = near_duplicates(docs, scratch, k, percent)
-    gone = scratch.stash(found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` with one row of each class: that with the smallest doc_id.  Of the rows of one doc_id
+    one stays, and of a text that no row with an id has, one; blank texts without doc_id all stay."""
+    found = scratch.stash(near_duplicates(docs, scratch, k, percent), "found")
+    many = scratch.stash(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_many")), "repeated-ids")
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone")).union(many).distinct()
+    gone = scratch.stash(gone, "gone")
+    out = docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("id"), docs["text"].cast("string").alias("text"))
+    if many.limit(1).count():
+        stay = found.where("kept").join(many, F.col("doc_id") == F.col("_many"), "left_semi").select(F.col("doc_id").alias("id")).distinct()
+        out = out.union(held.join(stay, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("text")).alias("row")).select("row.*"))
+    if found.where("doc_id IS NULL").limit(1).count():
+        keyed = held.where("id IS NULL").select("row", "text")
+        keyed = keyed.mapInArrow(trimmed(_keyed), StructType([keyed.schema["row"], StructField("text", StringType()), StructField("key", BinaryType())]))
+        blank = F.col("key") == F.lit(bytearray(text_key([])))
+        own = found.where("doc_id IS NULL AND n_shingles > 0 AND component_id IS NULL").select("key").distinct()
+        out = out.union(keyed.where(~blank).join(own, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("text")).alias("row")).select("row.*"))
+        out = out.union(keyed.where(blank).select("row.*"))
+    return out
 
 
 def op9_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -147,6 +147,17 @@ def test_open_families_are_compared_in_full(spark, scratch):
     assert [got[i].component_id for i in range(150)] == [find(i) for i in range(150)]
 
 
+def test_deduplicate_odd_rows(spark, scratch):
+    """Repeated rows, two texts under one id, rows without id: one row of each class stays, blank texts without id all do."""
+    a, b, c = sentence(60, 9), sentence(60, 10), sentence(60, 11)
+    rows = [(1, a), (1, a), (2, a + " tail"), (None, " " + a), (None, b), (None, b + " "), (None, ""), (None, None), (5, c), (5, sentence(60, 12)), (6, c + " more"), (7, ""), (8, None)]
+    out = minhash_dedup.deduplicate(documents(spark, [(i, t, *[None] * 8) for i, t in rows]), scratch, k=2)
+    got = sorted(((r.doc_id, (r.text or "").strip()) for r in out.collect()), key=repr)
+    five = [x for x in got if x[0] == 5]
+    assert len(five) == 1 and five[0][1] in (c, sentence(60, 12))
+    assert [x for x in got if x[0] != 5] == sorted([(1, a), (None, b), (None, ""), (None, ""), (7, ""), (8, "")], key=repr)
+
+
 def test_components(spark, scratch):
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(e, scratch).collect()}
