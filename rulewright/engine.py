@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from .catalog import Catalog, CatalogError, Frame, Kind, Relation
 from .names import Variable, parse_query
-from .plans.planner import Planner, PlanError, Scope
+from .operators import maps as M
+from .plans.planner import Inapplicable, Planner, PlanError, Scope
 from .rules import RuleBase
 from .session import checkpoint
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, rules: RuleBase | None = None, strict: bool = False):
+    def __init__(self, spark: SparkSession, catalog: Catalog | None = None, rules: RuleBase | None = None, strict: bool = True):
+        """``strict`` checks that sources cover constraints and that rules of one priority don't overlap; where it is
+        off, for plans known to be right, no job runs for it."""
         self.spark, self.catalog, self.rules, self.strict = spark, catalog or Catalog(), rules or RuleBase(), strict
         self.planner: Planner | None = None
 
@@ -36,6 +39,8 @@ class Engine:
         local.erase_intensional()
         self.planner = Planner(self.rules, local, self.strict)
         scope = Scope({})
+        local.facts = self.planner.changed((), local.facts, scope)
+        scope = Scope({})
         for g in goals:
             if str(g) not in done:
                 done[str(g)] = self.planner.goal(g, scope)
@@ -51,7 +56,7 @@ class Engine:
                     if r.conditional is None or self.planner.truth(r.conditional, scope):
                         frame, sources, _ = self.planner.context(r, scope)
                         r.body(frame.df if frame else None, *sources)
-                except PlanError:
+                except Inapplicable:
                     continue
 
     def query(self, names: str) -> DataFrame | dict[str, DataFrame]:
@@ -79,15 +84,7 @@ class Engine:
         for r in self.catalog.facts.values():
             if r.frame is not None and r.frame.key_space == key_space and r.kind is not Kind.PARAM:
                 top = max(top, r.frame.df.agg(F.max("id")).first()[0] or 0)
-        fixed = checkpoint(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
-        counts = {r["_part"]: r["count"] for r in fixed.groupBy("_part").count().collect()}  # a row per partition
-        before, offsets = 0, []
-        for p in sorted(counts):
-            offsets.append((p, before))
-            before += counts[p]
-        start = self.spark.createDataFrame(offsets or [(0, 0)], "_part int, _before long")
-        new = fixed.join(F.broadcast(start), "_part")  # a row per partition
-        new = new.withColumn("id", F.lit(top + 1) + F.col("_before") + (F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)))
+        new = M.mint(rows, top)
         for n, r in stores.items():
             add = new.select("id", F.col(values[n]).alias("value" if r.kind is not Kind.MAP else "dst"))
             self.catalog._put(self.catalog.key(n), Relation(r.kind, Frame(r.df().unionByName(add), key_space), F.col(add.columns[1])), True)

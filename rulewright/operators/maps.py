@@ -54,3 +54,18 @@ def join_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def to_multimap(pairs: DataFrame, order_by: str = "dst") -> DataFrame:
     return pairs.select("id", (F.row_number().over(Window.partitionBy("id").orderBy(order_by)) - 1).alias("pos"), "dst")
+
+
+def mint(rows: DataFrame, top: int) -> DataFrame:
+    """``rows`` with new ids after ``top``, without gaps.  Ids come from per-partition counts, so no task sees all rows."""
+    from ..session import checkpoint
+
+    fixed = checkpoint(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    counts = {r["_part"]: r["count"] for r in fixed.groupBy("_part").count().collect()}  # a row per partition
+    before, offsets = 0, []
+    for p in sorted(counts):
+        offsets.append((p, before))
+        before += counts[p]
+    start = rows.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _before long")
+    new = fixed.join(F.broadcast(start), "_part")  # a row per partition
+    return new.withColumn("id", F.lit(top + 1) + F.col("_before") + (F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33))).drop("_part", "_at", "_before")

@@ -1,8 +1,8 @@
 """Goal-directed planning: from a goal, backward over the rules, to lazy DataFrames.
 
 Containers over one frame are combined without a join; each further frame costs one equi-join on
-the entity.  Nothing runs while a plan is built but the conditions of loops and, with strict checking, the
-coverage and conflict checks.  Loop-carried facts are cut from their lineage by checkpoints.
+the entity.  Nothing runs while a plan is built but the conditions of loops, the waves of recursions and, unless
+checking is off, the coverage and conflict checks.  Loop-carried facts are cut from their lineage by checkpoints.
 """
 
 from __future__ import annotations
@@ -20,7 +20,11 @@ from ..rules import Rule, RuleBase
 
 
 class PlanError(ValueError):
-    """A goal without a rule, a conflict of definitions or an uncovered constraint."""
+    """A conflict of definitions, an uncovered constraint or another plan that can't be."""
+
+
+class Inapplicable(PlanError):
+    """A rule that doesn't apply: a source that nothing gives, or a condition that is false.  Another rule may define the target."""
 
 
 @dataclass
@@ -59,7 +63,7 @@ class Scope:
 
 
 class Planner:
-    def __init__(self, rules: RuleBase, catalog: Catalog, strict: bool = False, checkpoint_every: int = 1, max_steps: int = 10_000):
+    def __init__(self, rules: RuleBase, catalog: Catalog, strict: bool = True, checkpoint_every: int = 1, max_steps: int = 10_000):
         self.rules, self.catalog, self.strict = rules, catalog, strict
         self.checkpoint_every, self.max_steps = checkpoint_every, max_steps
         self.trace: list[Step] = []
@@ -77,7 +81,7 @@ class Planner:
         scope = scope or Scope({})
         found = self.lookup(v, scope)
         if found is None:
-            raise PlanError(f"no fact and no rule gives {v}" + (f" (asked for by {self.pending[-1]})" if self.pending else ""))
+            raise Inapplicable(f"no fact and no rule gives {v}" + (f" (asked for by {self.pending[-1]})" if self.pending else ""))
         return found
 
     def lookup(self, v: Variable, scope: Scope) -> Relation | None:
@@ -124,6 +128,8 @@ class Planner:
     def define(self, v: Variable, rules: list[Rule], scope: Scope) -> Relation:
         if any(r.phase == "collapse" for r in rules):
             return self.iterate(v, rules, scope)
+        if again := [r for r in rules if self.recursive(r, v)]:
+            return self.recurse(v, [r for r in rules if r not in again], again, scope)
         reductions = [r for r in rules if r.kind in ("unit", "apply")]
         plain = [r for r in rules if r.kind not in ("unit", "apply")]
         parts: list[tuple[tuple[str, ...], Relation]] = []
@@ -137,16 +143,56 @@ class Planner:
                 continue
             try:
                 parts.append((self.target(r, v).priority, self.apply_rule(r, v, scope)))
-            except PlanError:
+            except Inapplicable:
                 if needs_all:  # else another rule may define the variable
                     raise
         if not parts:
             defaults = [r for r in plain if r.kind == "default"]
             if defaults:
                 return Relation(Kind.PARAM, literal=defaults[0].body)
-            raise PlanError(f"no rule for {v} can run: {'; '.join(map(str, rules))}")
+            raise Inapplicable(f"no rule for {v} can run: {'; '.join(map(str, rules))}")
         return self.resolve(v, parts)
 
+    # -- recursion --------------------------------------------------------------------------------
+
+    def reaches(self, source: Variable, v: Variable, seen: set[Variable]) -> bool:
+        """Whether ``source`` depends on ``v`` by rules of its time level."""
+        if source.plain == v.plain:
+            return True
+        if source in seen or source in self.catalog:
+            return False
+        seen.add(source)
+        return any(self.reaches(s, v, seen) for r in self.rules.defining(source) if self.applies(r, source) for a in r.signature.sources for _, s in a.paths())
+
+    def recursive(self, r: Rule, v: Variable) -> bool:
+        """Whether a rule for ``v`` reads ``v``, itself or by other rules, at the end of a chain of maps."""
+        return r.kind in ("pointwise", "map") and any(chain and self.reaches(s, v, set()) for a in r.signature.sources for chain, s in a.paths())
+
+    def recurse(self, v: Variable, base: list[Rule], again: list[Rule], scope: Scope) -> Relation:
+        """Waves: the rules without recursion begin; each wave gives entities whose recursive sources are there, and
+        those that an earlier wave gave keep its value.  A rule with one recursive source reads the last wave alone.  With the
+        option ``relaxed_recursion`` the rules run once, over what the others gave."""
+        if not base:
+            raise PlanError(f"{v} depends on itself and no rule begins it: {'; '.join(map(str, again))}")
+        done = self.cut(self.define(v, base, scope))
+        front, relaxed = done, all(r.options.get("relaxed_recursion") for r in again)
+        for _ in range(self.max_steps):
+            new = None
+            for r in again:
+                ends = [s for a in r.signature.sources for chain, s in a.paths() if chain and self.reaches(s, v, set())]
+                got = self.apply_rule(r, v, Scope({v: front if len(ends) == 1 else done}, parent=scope)).df()
+                got = got.join(done.df().select("id"), "id", "left_anti")
+                if new is not None and self.strict and got.join(new.select("id"), "id", "left_semi").limit(1).count():
+                    raise PlanError(f"rules of one priority overlap in {v}")
+                new = got if new is None else new.unionByName(got)
+            front = self.cut(Relation(done.kind, Frame(new, done.frame.key_space), F.col(new.columns[1])))
+            if front.df().isEmpty():
+                return done
+            done = Relation(done.kind, Frame(done.df().unionByName(front.df()), done.frame.key_space), F.col(new.columns[1]))
+            if relaxed:
+                return done
+        raise PlanError(f"the recursion of {v} did not settle in {self.max_steps} waves")
+
     @staticmethod
     def target(r: Rule, v: Variable) -> Variable:
         return next(t for t in r.targets if t.base == v.base)
@@ -299,7 +345,7 @@ class Planner:
             if frame is None:
                 frame = Frame(ids, rel.frame.key_space)
                 continue
-            if self.strict and not chain and ids.join(frame.df.select("id"), "id", "left_anti").limit(1).count():
+            if self.strict and not chain and not rel.frame.descends(frame) and ids.join(frame.df.select("id"), "id", "left_anti").limit(1).count():
                 raise PlanError(f"{r}: sources don't cover constraint {c}")
             frame = Frame(frame.df.join(ids, "id", "left_semi"), frame.key_space, frame)
         return frame
@@ -312,7 +358,7 @@ class Planner:
 
     def apply_rule(self, r: Rule, v: Variable, scope: Scope) -> Relation:
         if r.conditional is not None and r.phase != "collapse" and not self.truth(r.conditional, scope):
-            raise PlanError(f"the condition {r.conditional} of {r} is false")
+            raise Inapplicable(f"the condition {r.conditional} of {r} is false")
         if r.prelude:
             r.prelude(self)
         if r.kind == "super":
@@ -322,6 +368,8 @@ class Planner:
             return Relation(Kind.BLACKBOX, literal=r.body(*[s.df().first()[0] if isinstance(s, Relation) else s for s in sources]))
         if r.kind == "singleton":
             return self.singleton(r, v, sources)
+        if (n := r.options.get("partitions")) and frame is not None:
+            frame = Frame(frame.df.repartition(n, "id"), frame.key_space, frame)
         out = self.value(r, r.body(*sources), v)
         if r.kind == "constraint":
             return Relation(Kind.CONSTRAINT, Frame(frame.df.where(out), frame.key_space, frame))
@@ -441,9 +489,45 @@ class Planner:
                     if (old := state.get(base.at(deep, k + 1))) is not None:
                         new[base.at(deep, k)] = old
             new[counter] = Relation(Kind.PARAM, literal=step + 1)
-            state = new
+            state = self.changed(deep, new, Scope(dict(new), level, scope))
         raise PlanError(f"{v}: no end after {self.max_steps} steps")
 
+    # -- dynamic key spaces -----------------------------------------------------------------------
+
+    def changed(self, levels: tuple[str, ...], facts: dict[Variable, Relation], scope: Scope) -> dict[Variable, Relation]:
+        """``facts`` after the insertion, deletion and erase rules whose sources are of the time level, in the order they were declared."""
+        for r in self.rules.rules:
+            if r.kind not in ("insertion", "deletion", "erase") or {s.levels for a in r.signature.sources for _, s in a.paths() if s.name[:1] != "$"} != {levels}:
+                continue
+            try:
+                if r.conditional is not None and not self.truth(r.conditional, scope):
+                    continue
+                frame, sources, _ = self.context(r, scope)
+            except Inapplicable:
+                continue
+            space = r.options.get("key_space", frame.key_space)
+            held = {v: f for v, f in facts.items() if f.frame is not None and f.frame.key_space == space and f.kind is not Kind.PARAM}
+            if r.kind == "insertion":
+                made = r.body(*sources)
+                values = dict(zip(r.targets, made if isinstance(made, tuple) else (made,), strict=True))
+                rows = frame.df.select(F.explode(F.arrays_zip(*(c.alias(f"_{i}") for i, c in enumerate(values.values())))).alias("_n")).select("_n.*")
+                new = M.mint(rows.toDF(*(f"_{i}" for i in range(len(values)))), max([f.frame.df.agg(F.max("id")).first()[0] or 0 for f in held.values()], default=0))
+                for i, t in enumerate(values):
+                    v = t.plain
+                    old, add = facts.get(v), new.select("id", F.col(f"_{i}").alias("value"))
+                    if old is not None:
+                        add = old.df().unionByName(add.toDF(*old.df().columns))
+                    facts[v] = Relation(old.kind if old else Kind.STORE, Frame(add, space), F.col(add.columns[1]))
+            else:
+                gone = self.cut(Relation(Kind.CONSTRAINT, Frame(frame.df.where(r.body(*sources)).select("id")))).frame.df
+                names = held if r.kind == "deletion" else {t.plain: held[t.plain] for t in r.targets if t.plain in held}
+                for v, f in names.items():
+                    left = Frame(f.frame.df.join(gone, "id", "left_anti"), space)
+                    facts[v] = Relation(f.kind, left, f.value, f.literal, f.domain and Frame(f.domain.df.join(gone, "id", "left_anti")))
+            scope.facts.update(facts)
+            scope.memo.clear()
+        return facts
+
     def run_outputs(self, deep: tuple[str, ...], scope: Scope) -> None:
         for r in self.rules.rules:
             if r.kind == "output" and any(s.levels == deep for a in r.signature.sources for _, s in a.paths()):

@@ -14,6 +14,11 @@ from .names import Access, Signature, Variable, parse_accesses, parse_signature,
 
 KINDS = ("pointwise", "singleton", "unit", "apply", "default", "optional", "constraint", "map", "blackbox", "super", "insertion", "deletion", "erase", "output")
 
+#: Options of a rule: ``specialized`` rules answer their own name alone and aren't instantiated; ``inplace`` ("new|old") says that
+#: a target takes the place of a source, which for columns is a new column over the same rows; ``partitions`` deals the entities out
+#: by id before the body; ``key_space`` is that of an insertion, deletion or erase rule; ``relaxed_recursion`` runs a recursion once.
+OPTIONS = {"specialized", "inplace", "partitions", "key_space", "relaxed_recursion", "param"}
+
 
 class RuleError(ValueError):
     """A rule that can't be registered."""
@@ -91,6 +96,12 @@ class RuleBase:
             raise RuleError(f"{rule}: a singleton rule reads params alone")
         if rule.kind == "apply" and rule.op is None:
             raise RuleError(f"{rule}: an apply rule needs an operator")
+        if unknown := set(rule.options) - OPTIONS:
+            raise RuleError(f"{rule}: unknown options {', '.join(sorted(unknown))}")
+        if rule.options.get("inplace"):
+            new, _, old = rule.options["inplace"].partition("|")
+            if new not in map(str, rule.targets) or old not in {str(v) for a in rule.signature.sources for _, v in a.paths()}:
+                raise RuleError(f"{rule}: inplace names a target and a source, as in 'new|old'")
         if rule.kind not in ("apply", "insertion", "output") and any(t.maps for t in rule.signature.targets):
             raise RuleError(f"{rule}: only apply rules write through maps")
         self.rules.append(rule)
@@ -107,7 +118,7 @@ class RuleBase:
                 if t.base == goal.base:
                     out.append(r)
                     break
-                if t.args:
+                if t.args and not r.options.get("specialized"):
                     free = set(r.parametric) or {a.name for a in t.args if not a.args}
                     binding: dict[str, Variable] = {}
                     if unify(t.base, goal.base, free, binding):
