@@ -121,6 +121,47 @@ def dual_div(a: Column, b: Column) -> Column:
     return dual(a["v"] / b["v"], (a["d"] * b["v"] - a["v"] * b["d"]) / (b["v"] * b["v"]))
 
 
+def dual_pow(a: Column, b: Column) -> Column:
+    """a to the power b; where the base isn't positive the exponent counts as a constant."""
+    v = F.pow(a["v"], b["v"])
+    grow = F.when(a["v"] > 0, v * F.log(F.when(a["v"] > 0, a["v"])) * b["d"]).otherwise(0.0)
+    return dual(v, F.when(b["v"] == 0, 0.0).otherwise(b["v"] * F.pow(a["v"], b["v"] - 1) * a["d"]) + grow)
+
+
+def dual_atan2(y: Column, x: Column) -> Column:
+    return dual(F.atan2(y["v"], x["v"]), (y["d"] * x["v"] - x["d"] * y["v"]) / (x["v"] * x["v"] + y["v"] * y["v"]))
+
+
+def dual_max(a: Column, b: Column) -> Column:
+    """The larger of two; of equal ones the second."""
+    return F.when(a["v"] > b["v"], a).otherwise(b)
+
+
+def dual_min(a: Column, b: Column) -> Column:
+    """The smaller of two; of equal ones the second."""
+    return F.when(a["v"] < b["v"], a).otherwise(b)
+
+
+def erf(x: Column) -> Column:
+    """The error function, to 1.2e-7: a Chebyshev fit of its complement (Numerical Recipes, 6.2)."""
+    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    t = 1 / (1 + 0.5 * F.abs(x))
+    poly = F.lit(c[-1])
+    for k in c[-2::-1]:
+        poly = poly * t + k
+    rest = t * F.exp(-x * x + poly)
+    return F.when(x >= 0, 1 - rest).otherwise(rest - 1)
+
+
+def dual_erf(a: Column) -> Column:
+    return dual(erf(a["v"]), F.lit(1.1283791670955126) * F.exp(-a["v"] * a["v"]) * a["d"])
+
+
+def uniform(entity: Column, seed: int) -> Column:
+    """A number in [0, 1) by entity and seed, whatever the partitions: 53 bits of a hash."""
+    return F.shiftrightunsigned(F.xxhash64(entity, F.lit(seed)), 11) / F.lit(float(1 << 53))
+
+
 class Spline:
     """Piecewise cubic fitted to a function within a tolerance; evaluation, derivative and (for monotone functions) inverse."""
 

@@ -69,3 +69,11 @@ def mint(rows: DataFrame, top: int) -> DataFrame:
     start = rows.sparkSession.createDataFrame(offsets or [(0, 0)], "_part int, _before long")
     new = fixed.join(F.broadcast(start), "_part")  # a row per partition
     return new.withColumn("id", F.lit(top + 1) + F.col("_before") + (F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33))).drop("_part", "_at", "_before")
+
+
+def add_pairs(*pairs: DataFrame) -> DataFrame:
+    """Pair lists put together, as maps are before they become one multimap."""
+    out = pairs[0].select("id", "dst")
+    for p in pairs[1:]:
+        out = out.unionByName(p.select("id", "dst"))
+    return out

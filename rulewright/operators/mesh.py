@@ -48,6 +48,15 @@ def hex_grid(spark: SparkSession, n: int, size: float = 1.0) -> Mesh:
     return Mesh(pos, faces.select("id", F.posexplode("ring").alias("pos", "dst")).select("id", "pos", F.col("dst").cast("long").alias("dst")), faces.drop("ring"))
 
 
+def hex_cells(spark: SparkSession, n: int) -> DataFrame:
+    """(id, nodes, type): the cells of ``hex_grid`` by their eight nodes, with the type number of exporters."""
+    m = n + 1
+    i, j, k = F.col("id") % n, F.floor(F.col("id") / n) % n, F.floor(F.col("id") / (n * n))
+    node = lambda a, b, c: (i + a) + (j + b) * m + (k + c) * m * m
+    ring = ((0, 0), (1, 0), (1, 1), (0, 1))
+    return spark.range(n**3).select("id", F.array(*(node(a, b, c) for c in (0, 1) for a, b in ring)).alias("nodes"), F.lit(12).alias("type"))
+
+
 def face_metrics(mesh: Mesh) -> DataFrame:
     """id, cl, cr, boundary, center, n (unit normal), sada (area).  The centre is the edge-length weighted
     mean of edge midpoints; the area vector sums triangles around it."""

@@ -85,6 +85,39 @@ def top_k(df: DataFrame, k: int, *keys) -> DataFrame:
     return df.orderBy(*keys).limit(k)
 
 
-def top_k_by(df: DataFrame, group: str, k: int, *keys) -> DataFrame:
-    """The first k rows of each group; Spark limits ranks before the shuffle."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*keys))).where(F.col("_r") <= k).drop("_r")
+def top_k_by(df: DataFrame, group: str, k: int, *keys, place: str | None = None) -> DataFrame:
+    """The first k rows of each group, with their places if a name for them is given; Spark limits ranks before the shuffle."""
+    out = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*keys))).where(F.col("_r") <= k)
+    return out.withColumnRenamed("_r", place) if place else out.drop("_r")
+
+
+def ranks(df: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``rank``, from 1, in the order of ``keys`` over the whole table: range partitions are counted, and a row's
+    place in its partition is added to the counts of those before.  Ties of all keys are in any order."""
+    from ..session import checkpoint
+
+    fixed = checkpoint(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    counts = sorted((r["_part"], r["count"]) for r in fixed.groupBy("_part").count().collect())  # a row per partition
+    before = [(p, sum(n for _, n in counts[:i])) for i, (p, _) in enumerate(counts)]
+    start = df.sparkSession.createDataFrame(before or [(0, 0)], "_part int, _before long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return fixed.withColumn("_place", place).join(F.broadcast(start), "_part").withColumn("rank", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
+def waves(entities: DataFrame, needs: DataFrame, most: int = 1000) -> DataFrame:
+    """(id, wave): a topological order by waves; an entity is in the wave after the last of those it needs, pairs (id, dst).
+    A cycle is an error."""
+    from ..session import checkpoint
+
+    needs = needs.join(entities.select(F.col("id").alias("dst")), "dst", "left_semi").select("id", "dst")
+    left, done = checkpoint(entities.select("id").distinct()), None
+    for wave in range(most):
+        blocked = needs.join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select("id")
+        front = checkpoint(left.join(blocked, "id", "left_anti").withColumn("wave", F.lit(wave)))
+        if front.isEmpty():
+            if not left.isEmpty():
+                raise ValueError("the needs hold a cycle")
+            break
+        done = front if done is None else done.unionByName(front)
+        left = checkpoint(left.join(front, "id", "left_anti"))
+    return done if done is not None else left.withColumn("wave", F.lit(0))

@@ -147,11 +147,25 @@ def shift(a: DataFrame, k: int) -> DataFrame:
 
 
 def intervals(a: DataFrame, width: int = 1 << 20) -> DataFrame:
-    """(low, high): the maximal runs of consecutive ids.  Runs are found inside id ranges of ``width`` and then
-    joined across ranges, so no task sees more than a range or the ranges' edges."""
+    """(low, high): the maximal runs of consecutive ids.  Runs are found inside id ranges of ``width``; only runs
+    that touch a range's edge, at most two a range, are then joined in order, so no task sees more than a range or those."""
     cell = F.floor(F.col("id") / width)
     run = F.col("id") - F.row_number().over(Window.partitionBy(cell).orderBy("id"))
     local = a.select("id").distinct().select("id", cell.alias("cell"), run.alias("run")).groupBy("cell", "run").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    at_edge = (F.pmod("low", F.lit(width)) == 0) | (F.pmod("high", F.lit(width)) == width - 1)
     order = Window.orderBy("low")
-    starts = local.withColumn("new", (F.coalesce(F.lag("high").over(order) + 1 < F.col("low"), F.lit(True))).cast("long"))
-    return starts.withColumn("group", F.sum("new").over(order)).groupBy("group").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("group")
+    starts = local.where(at_edge).withColumn("new", (F.coalesce(F.lag("high").over(order) + 1 < F.col("low"), F.lit(True))).cast("long"))
+    joined = starts.withColumn("group", F.sum("new").over(order)).groupBy("group").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("group")
+    return local.where(~at_edge).select("low", "high").unionByName(joined)
+
+
+def compare(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether a is a subset and a superset of b."""
+    x, y = (d.select("id").distinct().withColumn(n, F.lit(True)) for d, n in ((a, "_a"), (b, "_b")))
+    j = x.join(y, "id", "full_outer")
+    return j.agg(F.coalesce(F.bool_and(F.col("_a").isNull() | F.col("_b").isNotNull()), F.lit(True)).alias("subset"), F.coalesce(F.bool_and(F.col("_b").isNull() | F.col("_a").isNotNull()), F.lit(True)).alias("superset"))
+
+
+def describe(a: DataFrame) -> DataFrame:
+    """One row: size, low and high of a set."""
+    return a.select("id").distinct().agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.max("id").alias("high"))

@@ -18,10 +18,9 @@ def start(master: str | None = None, **conf) -> SparkSession:
     return b.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table written to the folder of spark.checkpoint.dir, which survives lost executors and
-    gives the next plan exact sizes; where that setting is unset, as in tests, to a temporary folder."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share; where that setting is unset, as in tests, in
+    a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -29,6 +28,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rulewright-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get()
-    path = f"{at}/rulewright-{uuid.uuid4().hex}"
+    return f"{at}/rulewright-{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a table in the shared folder, which survives lost executors, gives the next plan
+    exact sizes, and goes when the driver ends."""
+    spark = df.sparkSession
+    path = checkpoint_dir(spark)
     df.write.parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
     return spark.read.schema(df.schema).parquet(path)

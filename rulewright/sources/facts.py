@@ -175,3 +175,83 @@ def read_ugrid_ascii(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     except (StopIteration, RuntimeError, ValueError) as e:
         raise CatalogError(f"{path}: not a whole mesh file") from e
     return {"pos": spark.createDataFrame(pos, "id long, x double, y double, z double"), "boundary": spark.createDataFrame([(i, r, s) for i, (r, s) in enumerate(zip(ring, surface, strict=True))], "id long, nodes array<long>, surface int"), "cells": spark.createDataFrame([(i, n, c) for i, (n, c) in enumerate(cells)], "id long, type string, nodes array<long>")}
+
+
+def read_parameter(spark: SparkSession, path: str, name: str):
+    """The value of one param of a fact store."""
+    return read_catalog(spark, path, [name]).get(name).df().first()[0]
+
+
+def write_text(catalog: Catalog, path: str) -> None:
+    """Params and containers as text, a JSON line per row, written by the executors; blackboxes are skipped."""
+    for v, r in catalog.facts.items():
+        if r.kind is Kind.BLACKBOX:
+            continue
+        df = r.df()
+        head = {"fact": str(v), "kind": r.kind.value, "space": r.frame.key_space if r.frame else "main", "columns": df._jdf.schema().toDDL()}
+        line = F.to_json(F.struct(*(F.lit(x).alias(k) for k, x in head.items()), F.to_json(F.struct(*df.columns)).alias("row")))
+        df.select(line.alias("value")).write.mode("append").text(path)
+
+
+def read_text_facts(spark: SparkSession, path: str) -> Catalog:
+    """The catalog that ``write_text`` wrote."""
+    rows = spark.read.text(path).select(F.from_json("value", "fact string, kind string, space string, columns string, row string").alias("r")).select("r.*")
+    out = Catalog()
+    for h in rows.select("fact", "kind", "space", "columns").distinct().orderBy("fact").collect():  # a row per fact
+        kind = Kind(h["kind"])
+        df = rows.where(F.col("fact") == h["fact"]).select(F.from_json("row", h["columns"]).alias("r")).select("r.*")
+        value = None if kind is Kind.CONSTRAINT else F.col("dst" if kind in (Kind.MAP, Kind.MULTIMAP) else "value")
+        out.create(h["fact"], Relation(kind, Frame(df, h["space"]), value))
+    return out
+
+
+def write_vectors(df: DataFrame, path: str) -> None:
+    """Arrays of numbers by entity (id, value), their length beside them."""
+    df.select("id", F.size("value").alias("size"), "value").write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(id, value) of a vector file; an array of another length than noted is an error."""
+    df = spark.read.parquet(path)
+    wrong = F.raise_error(F.concat(F.lit("array of the wrong length for entity "), F.col("id").cast("string")))
+    return df.select("id", F.when(F.size("value") == F.col("size"), F.col("value")).otherwise(F.when(F.col("id").isNotNull(), wrong.cast(df.schema["value"].dataType))).alias("value"))
+
+
+def concatenate(spark: SparkSession, folders: list[str], path: str) -> None:
+    """The part files of text folders, in order, as one file: bytes are copied from stream to stream, no rows are collected."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target, True)
+    for folder in folders:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(conf)
+        parts = sorted(str(s.getPath().toString()) for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+        for p in parts:
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(p))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+            stream.close()
+    out.close()
+
+
+def write_vtk(pos: DataFrame, cells: DataFrame, fields: dict[str, DataFrame], path: str) -> None:
+    """A legacy ASCII unstructured grid: pos (id, x, y, z) with ids 0..n-1, cells (id, nodes, type), node fields (id, value).
+    The executors write each section sorted by id; the sections are concatenated."""
+    from ..session import checkpoint_dir
+
+    spark = pos.sparkSession
+    n, m, total = pos.count(), cells.count(), cells.agg(F.sum(F.size("nodes") + 1)).first()[0] or 0
+    folders = []
+
+    def section(head: list[str], rows: DataFrame | None, line=None) -> None:
+        for df in (spark.createDataFrame([(i, h) for i, h in enumerate(head)], "id long, value string").coalesce(1).orderBy("id").select("value") if head else None, rows.orderBy("id").select(line.alias("value")) if rows is not None else None):
+            if df is not None:
+                folders.append(checkpoint_dir(spark, "section"))
+                df.write.text(folders[-1])
+
+    text = lambda c: F.col(c).cast("string")
+    section(["# vtk DataFile Version 3.0", "rulewright", "ASCII", "DATASET UNSTRUCTURED_GRID", f"POINTS {n} double"], pos, F.concat_ws(" ", *map(text, "xyz")))
+    section([f"CELLS {m} {total}"], cells, F.concat_ws(" ", F.size("nodes").cast("string"), F.array_join(F.col("nodes").cast("array<string>"), " ")))
+    section([f"CELL_TYPES {m}"], cells, text("type"))
+    for i, (name, f) in enumerate(fields.items()):
+        section([*([f"POINT_DATA {n}"] if i == 0 else []), f"SCALARS {name} double 1", "LOOKUP_TABLE default"], f, text("value"))
+    concatenate(spark, folders, path)
