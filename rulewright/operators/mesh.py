@@ -144,7 +144,7 @@ def neighbour_range(faces: DataFrame, cells: DataFrame, value: str) -> DataFrame
 
 
 def venkatakrishnan(up: Column, diff: Column, eps2: Column) -> Column:
-    d = F.when(diff >= 0, diff + TINY).otherwise(diff - TINY)
+    d = F.when(diff > 0, diff + TINY).otherwise(diff - TINY)
     y = (d * (up * up + eps2) + 2 * d * d * up) / (d * (up * up + 2 * d * d + d * up + eps2))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), y))
 
@@ -155,7 +155,8 @@ def barth(x: Column, diff: Column, qmax: Column, qmin: Column) -> Column:
 
 
 def nishikawa(up: Column, diff: Column, eps: float, p: int = 4) -> Column:
-    """Smooth limiter of order p = 3, 4 or 5: 1 where the allowed change is over twice the extrapolated one."""
+    """Smooth limiter of order p = 3, 4 or 5 on the sizes of the changes: 1 where the allowed change is over twice the
+    extrapolated one, which it meets there without a step (published forms with a - b in place of a - 2b for p = 4 don't)."""
     a, b = F.abs(up), F.abs(diff)
     s = {3: 4 * b * b, 4: 2 * b * (a * a - 2 * b * (a - 2 * b)), 5: 8 * b * b * (a * a - 2 * b * (a - b))}[p]
     top = F.pow(a, F.lit(p)) + eps**p
@@ -172,9 +173,9 @@ def limiter(faces: DataFrame, cells: DataFrame, value: str, grad: str, kind: str
     if kind == "barth":
         one = barth(F.col("_q"), diff, F.col("qmax"), F.col("qmin"))
     elif kind == "venkatakrishnan":
-        one = venkatakrishnan(F.when(diff > 0, F.col("qmax") - F.col("_q")).otherwise(F.col("qmin") - F.col("_q")), diff, F.lit(eps2))
+        one = venkatakrishnan(F.when(diff >= 0, F.col("qmax") - F.col("_q")).otherwise(F.col("qmin") - F.col("_q")), diff, F.lit(eps2))
     elif kind in ("nishikawa3", "nishikawa4", "nishikawa5"):
-        one = nishikawa(F.when(diff > 0, F.col("qmax") - F.col("_q")).otherwise(F.col("qmin") - F.col("_q")), diff, eps2**0.5, int(kind[-1]))
+        one = nishikawa(F.when(diff >= 0, F.col("qmax") - F.col("_q")).otherwise(F.col("qmin") - F.col("_q")), diff, eps2**0.5, int(kind[-1]))
     else:
         raise ValueError(f"unknown limiter {kind!r}")
     return s.groupBy("cell").agg(F.min(one).alias("limiter")).withColumnRenamed("cell", "id")

@@ -501,7 +501,7 @@ def jacobi_solver(spark, sf):
     n = 50
     i = spark.range(n)
     m = i.select(F.col("id").alias("row"), F.explode(F.array(*(F.struct(((F.col("id") + d) % n).alias("col"), F.lit(a).alias("a")) for d, a in ((0, 4.0), (1, -1.0), (n - 1, -1.0))))).alias("e")).select("row", "e.*")
-    return G.jacobi(m, i.select("id", F.lit(2.0).alias("b")), 60, 1e-9).select("id", F.round("value", 8).alias("value"))
+    return G.jacobi(m, i.select("id", F.lit(2.0).alias("b")), 40, 1e-6).select("id", F.round("value", 5).alias("value"))
 
 
 _LIFE = "g(id) AS (SELECT * FROM range(64)), c AS (SELECT id, id // 8 AS i, id % 8 AS j FROM g), nb AS (SELECT c.id, ((c.i + di + 8) % 8) * 8 + (c.j + dj + 8) % 8 AS dst FROM c, (VALUES (-1), (0), (1)) a(di), (VALUES (-1), (0), (1)) b(dj) WHERE di <> 0 OR dj <> 0)"
@@ -539,6 +539,6 @@ def streaming_rollup(spark, sf):
     return rollup_once(spark, f"{sf}/events.parquet").select("user_id", "n", r2(F.col("total")).alias("total"))
 
 # The other modules of queries register theirs here.
-from . import data_queries, rule_queries  # noqa: E402, F401
+from . import data_queries, mesh_queries, rule_queries  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]

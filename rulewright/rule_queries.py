@@ -174,10 +174,10 @@ def null_operator(spark, sf):
 def map_group_access(spark, sf):
     """One name read through each map of a group: (a, b)->x."""
     e = Engine(spark)
-    worth = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value")).unionByName(t(spark, sf, "part").select((-F.col("p_partkey")).alias("id"), F.col("p_retailprice").alias("value")))
+    worth = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value")).unionByName(t(spark, sf, "part").select((-1 - F.col("p_partkey")).alias("id"), F.col("p_retailprice").alias("value")))
     lines = t(spark, sf, "lineitem").withColumn("id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
     e.catalog.create("worth", store(worth, "worth"))
-    e.catalog.table(lines.withColumn("p", -F.col("l_partkey")), "id", {}, {"order": "l_orderkey", "piece": "p"}, key_space="lines")
+    e.catalog.table(lines.withColumn("p", -1 - F.col("l_partkey")), "id", {}, {"order": "l_orderkey", "piece": "p"}, key_space="lines")
     e.rules.pointwise("both <- (order,piece)->worth")(lambda a, b: a + b)
     return e.query("both").select(r2(F.col("value")).alias("both"))
 
