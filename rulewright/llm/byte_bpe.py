@@ -9,7 +9,7 @@ quadratic, take the same contractions from a heap.
 
 Defined results: a null text counts as empty (no ids); rows are encoded one by one, so
 ties, repeated rows and null ids need no rule; an empty table gives an empty result.
-Lone surrogates can't occur in Spark strings.  Extra columns are ignored.
+Lone surrogates can't occur in Spark strings.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -55,14 +55,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Merge table and vocabulary in an in-memory DuckDB; one per worker process."""
+    """Merge table and vocabulary in an in-memory DuckDB that never spills; one per worker process."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import duckdb
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False, "temp_directory": ""})
         parts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, m = np.array(parts, np.int64).T if parts else np.empty((3, 0), np.int64)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)

@@ -32,6 +32,26 @@ QUERIES = {
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES: dict[str, str] = {
+    # Base spans; the tables hold nothing that the patterns could find beyond them, so spans are these.
+    "op4_personal_data": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+rule(ord, kind) AS (VALUES (0, 'email'), (1, 'ip'), (2, 'card'), (3, 'phone')),
+m AS (
+    SELECT doc_id, 0 AS ord, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS m, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS g FROM d
+    UNION ALL SELECT doc_id, 1, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+    UNION ALL SELECT doc_id, 2, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), string_split_regex(t, '[0-9]([\x20-]?[0-9])+') FROM d
+    UNION ALL SELECT doc_id, 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+s AS (SELECT doc_id, i.ord, kind, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits, length(m[i]) AS n,
+        list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a
+    FROM i JOIN rule USING (ord)),
+l AS (SELECT *, list_sum(list_transform(range(1, length(digits) + 1), lambda k: CASE WHEN k % 2 = 1 THEN reverse(digits)[k]::INT WHEN reverse(digits)[k]::INT > 4 THEN 2 * reverse(digits)[k]::INT - 9 ELSE 2 * reverse(digits)[k]::INT END)) AS luhn FROM s),
+k AS (SELECT * FROM l WHERE CASE ord WHEN 0 THEN true WHEN 1 THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND ('0' || right(ltrim(x, '0'), 3))::INT <= 255))
+    WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND luhn % 10 = 0 ELSE length(digits) BETWEEN 10 AND 15 END),
+f AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n0, count(*) FILTER (ord = 1) AS n1, count(*) FILTER (ord = 2) AS n2, count(*) FILTER (ord = 3) AS n3,
+        string_agg(kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT, ',' ORDER BY a, ord) AS spans FROM k GROUP BY 1)
+SELECT doc_id, coalesce(n0, 0) AS n_email, coalesce(n1, 0) AS n_ip, coalesce(n2, 0) AS n_card, coalesce(n3, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN f USING (doc_id)""",
     "op5_secret_scan": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 rule(ord, kind, pat, grp, least) AS (VALUES

@@ -596,12 +596,65 @@ def test_toxicity_on_held_out_labels(spark, sf):
     assert by[0].p < 0.05 and by[1].s > 5 * by[0].s
 
 
+def masked(text):
+    """Base spans replaced by their kinds; a span that starts before the last one ends is joined to it."""
+    out, at = [], 0
+    for start, k, end in sorted((m.start(), k, m.end()) for k in range(4) for m in PII[k].finditer(text or "") if CHECKS[k](m[0])):
+        if start >= at:
+            out += [text[at:start], f"<{personal_data.KINDS[k].upper()}>"]
+        at = max(at, end)
+    return "".join(out) + (text or "")[at:] if out else text
+
+
 def test_pipeline_stages(spark, sf):
+    """Each stage on its predecessor's rows, against plain loops."""
     import corpus_pipeline as P
+    import public_tokenizers
+    import tiktoken
 
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "private", "mixture", "tokens"]
-    kept = P.quality(spark, docs, sf)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    kept = scratch.stash(P.quality(spark, docs, sf), "quality")
+    ids = lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
+    assert kept.columns == docs.columns and ids(kept) == ids(quality_classifier.score(docs, scratch).where("kept")) and 0 < kept.count() < docs.count()
+
+    rows = sorted(kept.collect(), key=lambda r: r.doc_id)
+    sets = []
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    root = closure(len(rows), links)
+    single = scratch.stash(P.near_duplicates(spark, kept, sf), "single")
+    assert links and single.columns == docs.columns and ids(single) == [rows[i].doc_id for i in range(len(rows)) if root[i] == i]
+
+    clean = scratch.stash(P.private(spark, single, sf), "clean")
+    before, after = by_id(single), by_id(clean)
+    assert clean.columns == docs.columns and {i: r.text for i, r in after.items()} == {i: masked(r.text) for i, r in before.items()}
+    assert any(before[i].text != after[i].text for i in before) and all(r.n_chars == len(r.text) for i, r in after.items() if r.text != before[i].text)
+
+    mixed = scratch.stash(P.mixture(spark, clean, sf), "mixed")
+    copies = collections.Counter(ids(mixed))
+    assert mixed.columns == docs.columns and copies == {r.doc_id: r.copies for r in mixing.plan(clean, scratch).collect() if r.copies}
+    goal, largest = {r.source: r.target for r in mixing.plan(clean, scratch).collect()}, max(len(WORD.findall(r.text or "")) for r in after.values())
+    for source, target in goal.items():
+        assert abs(sum(copies[i] * len(WORD.findall(r.text or "")) for i, r in after.items() if r.source == source) - target) <= largest
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    for r in P.tokens(spark, mixed, sf).collect():
+        text = after[r.doc_id].text or ""
+        assert r.ids == enc.encode_ordinary(text) and r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pipeline_runs_and_takes_odd_rows(spark, sf):
+    import corpus_pipeline as P
+
     out = P.run(spark, sf)
-    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and 0 < out.count() and out.where(F.size("ids") != F.col("n_tokens")).count() == 0
+    scratch = Scratch(spark)
+    for rows in (odd(spark), documents(spark, [])):
+        for name, stage in P.STAGES[:-1]:
+            rows = scratch.stash(stage(spark, rows, sf), name)
+            assert rows.columns == odd(spark).columns
+        assert P.tokens(spark, rows, sf).count() == rows.count()
