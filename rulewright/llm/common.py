@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Largest number of rows of one bucket that one task compares with as many others.
-BLOCK = 128
 #: Bytes and rows of one Arrow batch, so that long texts keep a worker's memory bounded.
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 2000
 #: Spark's setting that removes a query's shuffle files when the query ends.
@@ -147,7 +145,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield cut(rest)
 
 
-def split_blocks(rows: DataFrame, bucket: str, node: str, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def split_blocks(rows: DataFrame, bucket: str, node: str, scratch: Scratch, block: int) -> DataFrame:
     """Deals the rows of each bucket into block pairs of at most ``block`` rows a side, so
     that one task never holds a whole large bucket.  Adds longs bi, bj (the block pair) and boolean
     left (row belongs to block bi); within a pair (i, i) every row is left.  Rows sharing a bucket

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import Scratch, components, groups, hot_join, split_blocks, spread, trimmed
+from .common import Scratch, components, groups, hot_join, spread, trimmed
 
 BANDS, ROWS = 32, 5
 #: Signature agreement below this rules a pair out: five standard deviations under the threshold.
@@ -36,6 +36,8 @@ SLACK = 5.0
 DRAWN = 3
 #: Representatives of a node that are confirmed first, the best of so many hash classes.
 PICKED = 4
+#: Rows of one side of a block pair.
+BLOCK = 512
 #: Most words whose hashes a Python worker remembers.
 WORDS_KEPT = 200_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -236,6 +238,19 @@ def _confirm(percent: int):
     return run
 
 
+def deal_open(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """Block pairs for rows (node, bucket, comp) of buckets that hold several components.  Rows of a bucket's commonest component need
+    not meet each other: the others, split into blocks, meet each other and the blocks of the commonest.  Adds bi, bj and left as ``split_blocks`` does."""
+    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.sum("k").alias("_n"), F.max("k").alias("_k"), F.max_by("comp", F.struct("k", "comp")).alias("_mode"))
+    blocks = lambda n: F.ceil(n / block).cast("long")
+    sizes = scratch.stash(sizes.where("_n > _k").select("bucket", "_n", "_mode", blocks(F.col("_n") - F.col("_k")).alias("_mb"), blocks(F.col("_k")).alias("_ob")), "sizes")
+    h, common = F.xxhash64("node", F.lit(7)), F.col("comp") == F.col("_mode")
+    own = F.when(common, F.col("_mb") + F.pmod(h, F.col("_ob"))).otherwise(F.pmod(h, F.col("_mb")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(common, F.col("_mb") - 1).otherwise(F.col("_mb") + F.col("_ob") - 1))
+    dealt = hot_join(rows, sizes, "bucket").withColumn("_own", own).withColumn("_other", F.explode(others))
+    return dealt.select(*rows.columns, F.least("_own", "_other").alias("bi"), F.greatest("_own", "_other").alias("bj"), (F.col("_own") <= F.col("_other")).alias("left"))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, key (of the normalised text), n_shingles, component_id, kept: a row per row of ``docs``."""
     least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
@@ -277,10 +292,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int
     scratch.drop(labelled, reps)
     wide = 4 * max(1, docs.sparkSession.sparkContext.defaultParallelism)
     deal = lambda d: d.repartition(wide, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    flagged = deal(split_blocks(inside, "bucket", "node", scratch).join(nodes.select("node", "sig"), "node")).mapInArrow(trimmed(_flag(least, bands, rows)), "node long, bucket long").distinct()
+    flagged = deal(deal_open(inside, scratch).join(nodes.select("node", "sig"), "node")).mapInArrow(trimmed(_flag(least, bands, rows)), "node long, bucket long").distinct()
     flagged = scratch.stash(flagged.join(inside, ["node", "bucket"]), "flagged")
     held = scratch.stash(sets_of(flagged.select("node").distinct(), "flagged-sets").join(nodes.select("key", "sig"), "key").select("node", "sig", "shingles"), "held")
-    more = deal(split_blocks(flagged, "bucket", "node", scratch).join(held, "node")).mapInArrow(trimmed(_cross(least, percent, bands, rows)), "a long, b long").distinct()
+    more = deal(deal_open(flagged, scratch).join(held, "node")).mapInArrow(trimmed(_cross(least, percent, bands, rows)), "a long, b long").distinct()
     more = scratch.stash(more, "more-links")
     scratch.drop(inside, flagged, held)
     full = scratch.stash(components(links.unionByName(more), scratch), "all-components")

@@ -147,6 +147,24 @@ def test_open_families_are_compared_in_full(spark, scratch):
     assert [got[i].component_id for i in range(150)] == [find(i) for i in range(150)]
 
 
+def test_open_buckets_meet_across_components(spark, scratch):
+    """Rows of different components of a bucket meet in exactly one block pair, of at most two blocks; those of the commonest don't meet."""
+    rows = [(i, 1, 0 if i < 60 else 100 + i % 7) for i in range(90)] + [(200 + i, 2, 5) for i in range(9)] + [(300 + i, 3, i) for i in range(20)]
+    dealt = minhash_dedup.deal_open(spark.createDataFrame(rows, "node long, bucket long, comp long"), scratch, 8).collect()
+    parts = collections.defaultdict(list)
+    for r in dealt:
+        parts[r.bucket, r.bi, r.bj].append(r)
+    met = collections.Counter()
+    for (_, bi, bj), rs in parts.items():
+        assert len(rs) <= 60
+        left, right = [r for r in rs if r.left], rs if bi == bj else [r for r in rs if not r.left]
+        met.update({tuple(sorted((a.node, b.node))) for a in left for b in right if a.node != b.node})
+    comp = {(n, b): c for n, b, c in rows}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[2] != b[2]}
+    assert all(met[p] == 1 for p in want) and all(v == 1 for v in met.values()) and len(comp) == len(rows)
+    assert not any(a < 60 and b < 60 for a, b in met) and len(dealt) < 6 * len(rows)
+
+
 def test_deduplicate_odd_rows(spark, scratch):
     """Repeated rows, two texts under one id, rows without id: one row of each class stays, blank texts without id all do."""
     a, b, c = sentence(60, 9), sentence(60, 10), sentence(60, 11)
