@@ -209,6 +209,29 @@ def derived_variables(spark, sf):
     return df.select("id", F.round(stats.derived("m"), 6).alias("mach"), F.round(stats.derived("P", 101325.0), 4).alias("pressure"), F.round(stats.derived("1"), 6).alias("v"))
 
 
+@query("SELECT l_returnflag AS flag, round(sum(l_quantity), 2) AS mass, round(sum(l_quantity * l_discount) / sum(l_quantity), 8) AS favre, round(sum(l_quantity * l_discount * l_discount) / sum(l_quantity) - (sum(l_quantity * l_discount) / sum(l_quantity)) ** 2, 8) AS favre_var FROM lineitem GROUP BY 1")
+def favre_combined(spark, sf):
+    """Density-weighted means and variances of spans, put together."""
+    li = t(spark, sf, "lineitem").withColumn("span", F.concat_ws(":", "l_returnflag", (F.col("l_orderkey") % 5).cast("string")))
+    parts = stats.favre(li, "span", "l_quantity", ["l_discount"]).join(li.groupBy("span").agg(F.first("l_returnflag").alias("flag"), F.sum("l_quantity").alias("w")), "span")
+    out = stats.favre_combine(parts, "flag", "w", "favre_l_discount", "favre_var_l_discount")
+    return out.select("flag", r2(F.col("mass")).alias("mass"), F.round("favre", 8).alias("favre"), F.round("favre_var", 8).alias("favre_var"))
+
+
+@query("SELECT event_type, u, v, w, round(cov, 3) AS cov FROM (SELECT event_type, round(avg(value), 4) AS u, round(avg(user_id), 4) AS v, round(avg(value * 2), 4) AS w, covar_pop(value, value * 2) AS cov FROM events GROUP BY 1)")
+def vector_covariance(spark, sf):
+    c = stats.covariance(t(spark, sf, "events").withColumn("w", F.col("value") * 2), "event_type", "value", "user_id", "w")
+    return c.select("event_type", F.round("mean_value", 4).alias("u"), F.round("mean_user_id", 4).alias("v"), F.round("mean_w", 4).alias("w"), F.round("cov_uw", 3).alias("cov"))
+
+
+@query("SELECT 4 AS same, 1 AS differs FROM range(1)")
+def compared_columns(spark, sf):
+    """Columns of two tables held against each other by their relative rms difference; one was changed."""
+    c = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), *(F.col("c_acctbal").alias(n) for n in "abcd"), F.col("c_acctbal").alias("e"))
+    out = stats.compare_columns(c, c.withColumn("e", F.col("e") * 1.001), "id", list("abcde"), 1e-12, 1e-6)
+    return out.agg(F.sum(F.col("agree").cast("int")).cast("int").alias("same"), F.sum((~F.col("agree")).cast("int")).cast("int").alias("differs"))
+
+
 @query("SELECT count(*) AS n, true AS inside, true AS repeats, true AS differs, true AS centred FROM orders")
 def seeded_random(spark, sf):
     """Uniform numbers by entity and seed: the same whenever and wherever they are asked for, others for another seed."""

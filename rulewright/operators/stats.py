@@ -20,21 +20,25 @@ def covariance(df: DataFrame, key: str, u: str, v: str, w: str) -> DataFrame:
 
 
 def combine(parts: DataFrame, key: str, n: str, mean: str, var: str) -> DataFrame:
-    """Running averages of several spans into one: key, n, mean, var."""
-    total = F.sum(n)
-    m = F.sum(F.col(n) * F.col(mean)) / total
-    second = F.sum(F.col(n) * (F.col(var) + F.col(mean) * F.col(mean))) / total
-    return parts.groupBy(key).agg(total.alias("n"), m.alias("mean"), (second - m * m).alias("var"))
+    """Running averages of several spans into one: key, n, mean, var.  The spans' variances and the squares of their means'
+    deviations from the common mean are summed, so nothing cancels."""
+    total = parts.groupBy(key).agg(F.sum(n).alias("_n"), (F.sum(F.col(n) * F.col(mean)) / F.sum(n)).alias("_m"))
+    j = parts.join(total, key)
+    d = F.col(mean) - F.col("_m")
+    return j.groupBy(key).agg(F.first("_n").alias("n"), F.first("_m").alias("mean"), (F.sum(F.col(n) * (F.col(var) + d * d)) / F.first("_n")).alias("var"))
+
+
+def favre_combine(parts: DataFrame, key: str, mass: str, mean: str, var: str) -> DataFrame:
+    """Density-weighted averages of several spans into one: key, mass, favre, favre_var; ``mass`` is a span's sum of densities."""
+    return combine(parts, key, mass, mean, var).withColumnsRenamed({"n": "mass", "mean": "favre", "var": "favre_var"})
 
 
 def favre(df: DataFrame, key: str, density: str, values: list[str]) -> DataFrame:
-    """Density-weighted means and variances: key, favre_<v>, favre_var_<v>."""
+    """Density-weighted means and variances: key, favre_<v>, favre_var_<v>; variances from deviations, in a second pass."""
     rho = F.col(density)
-    out = []
-    for v in values:
-        m = F.sum(rho * F.col(v)) / F.sum(rho)
-        out += [m.alias(f"favre_{v}"), (F.sum(rho * F.col(v) * F.col(v)) / F.sum(rho) - m * m).alias(f"favre_var_{v}")]
-    return df.groupBy(key).agg(*out)
+    means = df.groupBy(key).agg(*((F.sum(rho * F.col(v)) / F.sum(rho)).alias(f"favre_{v}") for v in values))
+    j = df.join(means, key)
+    return j.groupBy(key).agg(*(x for v in values for x in (F.first(f"favre_{v}").alias(f"favre_{v}"), (F.sum(rho * (F.col(v) - F.col(f"favre_{v}")) ** 2) / F.sum(rho)).alias(f"favre_var_{v}"))))
 
 
 def norms(x: Column, volume: Column) -> list[Column]:
