@@ -122,14 +122,8 @@ def user_functor_reductions(spark, sf):
     return o.select("id", F.concat(F.lit("["), F.array_join("s", ", "), F.lit("]")).alias("statuses"), r2(F.col("m.max")).alias("hi"), r2(F.col("m.min")).alias("lo"))
 
 
-@query("SELECT label, i - 1 AS pos, round(max(embedding[i])::DOUBLE, 5) AS value FROM embeddings, range(1, 9) r(i) GROUP BY 1, 2")
-def elementwise_maximum(spark, sf):
-    e = t(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 8).alias("v"))
-    return elementwise(e, "label", "v", Maximum).select("label", F.posexplode("value").alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("value"))
-
-
 @query("SELECT label, i - 1 AS pos, round(max(embedding[i])::DOUBLE, 5) AS value FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2")
-def elementwise_maximum_all(spark, sf):
+def elementwise_maximum(spark, sf):
     """The maximum of every component."""
     e = t(spark, sf, "embeddings").select("label", F.col("embedding").alias("v"))
     return elementwise(e, "label", "v", Maximum).select("label", F.posexplode("value").alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), F.round(F.col("v").cast("double"), 5).alias("value"))
@@ -374,16 +368,9 @@ def _points(spark, sf):
 _P = "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings"
 
 
-@query(f"WITH p AS ({_P}), d AS (SELECT q.id, p.id AS near, (q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2 AS d2 FROM p q JOIN p ON q.id % 2 = 1 AND p.id % 2 = 0) SELECT id, arg_min(near, (d2, near)) AS near, round(min(d2), 9) AS d2 FROM d GROUP BY 1")
-def nearest_neighbour(spark, sf):
-    """The nearest even vector of each odd one; even and odd are the two point sets of the query."""
-    p = _points(spark, sf)
-    return spatial.nearest(p.where("id % 2 = 1"), p.where("id % 2 = 0"), 0.05).select("id", "near", F.round("d2", 9).alias("d2"))
-
-
 @query(f"WITH p AS ({_P}), d AS (SELECT q.id, p.id AS near, (q.x - p.x) ** 2 + (q.y - p.y) ** 2 + (q.z - p.z) ** 2 AS d2 FROM p q JOIN p ON q.id <> p.id) SELECT id, arg_min(near, (d2, near)) AS near, round(min(d2), 9) AS d2 FROM d GROUP BY 1")
-def nearest_neighbour_all(spark, sf):
-    """The nearest other vector of every vector."""
+def nearest_neighbour(spark, sf):
+    """The nearest other point of every one; the points are the first three components of the vectors, here and in the other queries in space."""
     p = _points(spark, sf)
     return spatial.nearest(p, p, 0.05, others=True).select("id", "near", F.round("d2", 9).alias("d2"))
 
