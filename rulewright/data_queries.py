@@ -232,6 +232,40 @@ def compared_columns(spark, sf):
     return out.agg(F.sum(F.col("agree").cast("int")).cast("int").alias("same"), F.sum((~F.col("agree")).cast("int")).cast("int").alias("differs"))
 
 
+@query("SELECT p_partkey AS id, round(p_retailprice * 100000, 3) AS dynes, round(p_size * 30.48::DOUBLE, 6) AS centimeters, 10.0::DOUBLE AS erg FROM part")
+def cgs_units(spark, sf):
+    """Newtons as dynes, feet as centimetres, and a quantity read from text."""
+    from .functions import units
+
+    p = t(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), F.round(units.to_cgs(F.col("p_retailprice"), "N"), 3).alias("dynes"), F.round(units.to_cgs(F.col("p_size").cast("double"), "ft"), 6).alias("centimeters"), F.lit(round(units.parse_quantity("1e-6 J").cgs, 9)).alias("erg"))
+
+
+_XYZ = "embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z"
+
+
+@query(f"SELECT label, round(sum(x), 4) AS sx, round(sum(z), 4) AS sz, round(max(x), 6) AS hx, round(max(y), 6) AS hy, round(min(y), 6) AS ly, round(min(z), 6) AS lz FROM (SELECT label, {_XYZ} FROM embeddings) GROUP BY 1")
+def vector_reductions(spark, sf):
+    """Sum, maximum and minimum of vectors component by component, in one pass."""
+    from .operators.reduce import MaxMinVector, SumMaxMinVector
+
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    v = t(spark, sf, "embeddings").select("label", V.vec(at(1), at(2), at(3)).alias("v"))
+    r = v.groupBy("label").agg(SumMaxMinVector.aggregate(F.col("v")).alias("s"), MaxMinVector.aggregate(F.col("v")).alias("m"))
+    out = {"sx": ("s.sum.x", 4), "sz": ("s.sum.z", 4), "hx": ("s.max.x", 6), "hy": ("m.max.y", 6), "ly": ("m.min.y", 6), "lz": ("s.min.z", 6)}
+    return r.select("label", *(F.round(c, k).alias(n) for n, (c, k) in out.items()))
+
+
+@query(f"SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(1 - (x + 1) / 2 - (y + 1) / 2 - (z + 1) / 2, 6) AS first, x + y + z <= -1 AND x >= -1 AND y >= -1 AND z >= -1 AS inside FROM (SELECT vec_id AS id, {_XYZ} FROM embeddings)")
+def tetra_interpolation(spark, sf):
+    """Positions interpolated from a tetrahedron's corners by a point's weights, and whether it lies inside."""
+    corner = [V.vec(*(F.lit(float(c)) for c in p)) for p in ((-1, -1, -1), (1, -1, -1), (-1, 1, -1), (-1, -1, 1))]
+    p = _points(spark, sf).select("id", F.struct("x", "y", "z").alias("p"))
+    w = p.select("id", spatial.tetra_weights(F.col("p"), *corner).alias("w"))
+    mean = lambda k: sum((F.get("w", F.lit(i)) * c[k] for i, c in enumerate(corner)), F.lit(0.0))
+    return w.select("id", *(F.round(mean(k), 6).alias(k) for k in "xyz"), F.round(F.get("w", F.lit(0)), 6).alias("first"), F.forall("w", lambda x: x >= -1e-15).alias("inside"))
+
+
 @query("SELECT count(*) AS n, true AS inside, true AS repeats, true AS differs, true AS centred FROM orders")
 def seeded_random(spark, sf):
     """Uniform numbers by entity and seed: the same whenever and wherever they are asked for, others for another seed."""

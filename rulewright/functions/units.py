@@ -51,6 +51,11 @@ class Unit:
     name: str = ""
 
 
+def cgs_factor(unit: Unit) -> float:
+    """How many CGS units an MKS unit of the same kind is."""
+    return 100.0 ** unit.exponents[0] * 1000.0 ** unit.exponents[1]
+
+
 def parse_unit(text: str) -> Unit:
     """``kg*m/s/s``, ``m^2``, ``1/s``; operators apply left to right."""
     factor, exps, sign = 1.0, [0] * 8, 1
@@ -83,6 +88,11 @@ class Quantity:
             return self.value * f + shift
         return self.value * self.unit.factor
 
+    @property
+    def cgs(self) -> float:
+        """In centimetres, grams and seconds, the other base units as in MKS."""
+        return self.mks * cgs_factor(self.unit)
+
     def compatible(self, unit: str) -> bool:
         return parse_unit(unit).exponents == self.unit.exponents
 
@@ -111,3 +121,10 @@ def convert(value: Column, source: str, target: str) -> Column:
     fa, sa = ABSOLUTE.get(a.name, (a.factor, 0.0))
     fb, sb = ABSOLUTE.get(b.name, (b.factor, 0.0))
     return (value * F.lit(fa) + F.lit(sa - sb)) / F.lit(fb)
+
+
+def to_cgs(value: Column, source: str) -> Column:
+    """A column of ``source`` units in centimetres, grams and seconds."""
+    a = parse_unit(source)
+    f, shift = ABSOLUTE.get(a.name, (a.factor, 0.0))
+    return (value * F.lit(f) + F.lit(shift)) * F.lit(cgs_factor(a))

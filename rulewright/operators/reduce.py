@@ -33,12 +33,25 @@ SumMaxMin = Reduction("SumMaxMin", None, lambda x: F.struct(F.sum(x).alias("sum"
 MaxMagnitude = Reduction("MaxMagnitude", 0.0, lambda x: F.max_by(x, F.struct(F.abs(x), x)), lambda a, b: F.when(F.abs(b) > F.abs(a), b).otherwise(a))
 
 
+def _axes(f) -> Callable:
+    """A function of one or two numbers, applied to the components of vectors."""
+    return lambda *v: F.struct(*(f(*(x[k] for x in v)).alias(k) for k in "xyz"))
+
+
+#: Operators on vectors (struct x, y, z), component by component.
+SumVector = Reduction("SumVector", None, _axes(F.sum), _axes(lambda a, b: a + b))
+MaxVector = Reduction("MaxVector", None, _axes(F.max), _axes(F.greatest))
+MinVector = Reduction("MinVector", None, _axes(F.min), _axes(F.least))
+MaxMinVector = Reduction("MaxMinVector", None, lambda x: F.struct(MaxVector.aggregate(x).alias("max"), MinVector.aggregate(x).alias("min")), lambda a, b: F.struct(MaxVector.join(a["max"], b["max"]).alias("max"), MinVector.join(a["min"], b["min"]).alias("min")))
+SumMaxMinVector = Reduction("SumMaxMinVector", None, lambda x: F.struct(SumVector.aggregate(x).alias("sum"), MaxVector.aggregate(x).alias("max"), MinVector.aggregate(x).alias("min")), lambda a, b: F.struct(SumVector.join(a["sum"], b["sum"]).alias("sum"), MaxVector.join(a["max"], b["max"]).alias("max"), MinVector.join(a["min"], b["min"]).alias("min")))
+
+
 def _refuse(*_):
     raise TypeError("NullOp never joins: it is for side-effecting rules")
 
 
 NullOp = Reduction("NullOp", None, _refuse, _refuse)
-OPERATORS = {r.name: r for r in (Summation, Product, Maximum, Minimum, LogicalOr, LogicalAnd, SetUnion, Append, MaxMin, SumMaxMin, MaxMagnitude, NullOp)}
+OPERATORS = {r.name: r for r in (Summation, Product, Maximum, Minimum, LogicalOr, LogicalAnd, SetUnion, Append, MaxMin, SumMaxMin, MaxMagnitude, SumVector, MaxVector, MinVector, MaxMinVector, SumMaxMinVector, NullOp)}
 
 
 def reduce_to(contributions: DataFrame, units: DataFrame, op: Reduction) -> DataFrame:
