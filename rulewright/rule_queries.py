@@ -226,7 +226,7 @@ def relaxed_recursion(spark, sf):
     return e.query("depth").withColumnRenamed("value", "depth")
 
 
-@query("WITH RECURSIVE s(k, id, v) AS (SELECT 0, c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 UNION ALL SELECT k + 1, id, v / 2 FROM s WHERE k < 6 AND v / 2 >= 100) SELECT id, round(v, 4) AS v FROM s WHERE k = 6")
+@query("WITH RECURSIVE s(k, id, v) AS (SELECT 0, c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0 UNION ALL SELECT k + 1, id, v / 2 FROM s WHERE k < 6 AND v / 2 >= 100) SELECT id, round(v, 8) AS v FROM s WHERE k = 6")
 def dynamic_iteration(spark, sf):
     """Entities leave while a loop runs: balances halve, and those below 100 are deleted after each step."""
     e = sales(spark, sf)
@@ -238,7 +238,7 @@ def dynamic_iteration(spark, sf):
     r.deletion("poor{n} <- v{n}", key_space="customers")(lambda v: v < 100)
     r.singleton("done{n} <- $n, steps")(lambda n, k: n >= k)
     r.pointwise("rest <- v{n}", conditional="done{n}")(lambda v: v)
-    return e.query("rest").select("id", F.round("value", 4).alias("v"))
+    return e.query("rest").select("id", F.round("value", 8).alias("v"))
 
 
 @query("WITH RECURSIVE s(k, id, a, b) AS (SELECT 1, n_nationkey::BIGINT, 1::DOUBLE, n_nationkey::DOUBLE FROM nation UNION ALL SELECT k + 1, id, b, a + b FROM s WHERE k < 8) SELECT id, b AS value FROM s WHERE k = 8")
