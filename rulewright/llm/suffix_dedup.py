@@ -14,6 +14,8 @@ What was found equal by hashes alone, whole chunks and windows of crowded anchor
 source, and the SHA-256 of a run is held against that of its source.  If one differs, hashes collided: all are
 drawn anew and the work is repeated, so chance decides on time alone, never on results.
 
+Texts are hashed in strips and rows leave a worker in small batches, so what a worker holds follows neither the texts' lengths nor the number of their anchors.
+
 A byte is removed if it is covered by a window that also starts earlier (smaller doc_id, or same
 document and earlier start), judged on the input.  Texts are read in overlapping pieces, so memory
 doesn't follow their length.
@@ -41,6 +43,10 @@ LENGTH, K = 100, 24
 MANY = 96
 #: Bytes of text hashed at once; longer texts are cut into pieces that share LENGTH - 1 bytes.
 PIECE = 1 << 20
+#: Windows hashed at once; more than there are k-grams in a window.
+STRIP = 1 << 15
+#: Rows of chunks that leave a worker together.
+ROWS = 4096
 #: So often hashes are drawn anew before giving up.
 DRAWS = 5
 #: Windows of a crowded anchor's chunk that are settled together if they are all alike.
@@ -71,21 +77,29 @@ class Hashes:
 
     def sums(self, data: np.ndarray) -> np.ndarray:
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.value[data] * self.down[: len(data)], out=out[1:])
+        terms = np.take(self.value, data)
+        terms *= self.down[: len(data)]
+        np.cumsum(terms, out=out[1:])
+        return out
+
+    def each(self, sums: np.ndarray, n: int) -> np.ndarray:
+        """The hash of the n bytes from every position on."""
+        out = sums[n:] - sums[:-n]
+        out *= self.up[: len(out)]
         return out
 
     def of(self, sums: np.ndarray, at: np.ndarray, n) -> np.ndarray:
         return (sums[at + n] - sums[at]) * self.up[at]
 
 
-_HASHES: dict[tuple[int, int], Hashes] = {}
+_HASHES: dict[int, Hashes] = {}
 
 
 def hashes(seed: int, size: int) -> Hashes:
-    size = max(PIECE, 1 << int(size).bit_length())
-    if (seed, size) not in _HASHES:
-        _HASHES[seed, size] = Hashes(seed, size)
-    return _HASHES[seed, size]
+    """The seed's hashes with powers for ``size`` bytes at least; how many are held changes no hash."""
+    if seed not in _HASHES or len(_HASHES[seed].up) <= size:
+        _HASHES[seed] = Hashes(seed, 1 << int(size).bit_length())
+    return _HASHES[seed]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,35 +119,40 @@ def _least(key: np.ndarray, w: int) -> np.ndarray:
 def anchors(texts: list[bytes], length: int = LENGTH, k: int = K, draw: int = 0, bits: int = 64):
     """For texts joined end to end: (text index, anchor position in the text, first window, last window, anchor
     hash, chunk hash), arrays with a row per anchor and unbroken run of windows inside a text."""
-    size = np.array([len(t) for t in texts])
+    start = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) < length:
-        return None
-    one, two = hashes(1 + 10 * draw, len(data)), hashes(2 + 10 * draw, len(data))
-    s1, s2 = one.sums(data), two.sums(data)
-    gram = _mix(one.of(s1, np.arange(len(data) - k + 1), k))
-    # The anchor of the window at each position.  Positions are packed relative to a block, which they can't outgrow.
-    w, at = length - k + 1, []
-    block = int(_POS) + 2 - w
-    for s in range(0, len(gram) - w + 1, block):
-        g = gram[s : s + block + w - 1]
-        key = (g & ~_POS) | np.arange(len(g), dtype=np.uint64)
-        at.append((_least(key, w) & _POS).astype(np.int64) + s)
-    at = np.concatenate(at)
-    start = np.concatenate([[0], np.cumsum(size)])
-    text = np.repeat(np.arange(len(texts)), size)[: len(at)]
-    inside = np.arange(len(at)) + length <= start[text + 1]
-    p = np.flatnonzero(inside)
-    if not len(p):
+    total, w = len(data) - length + 1, length - k + 1
+    # Positions are packed relative to a strip, which they can't outgrow.
+    strip = min(STRIP, int(_POS) + 2 - w)
+    one, two = hashes(1 + 10 * draw, strip + length), hashes(2 + 10 * draw, strip + length)
+    found: list[tuple[np.ndarray, ...]] = []
+    s = 0
+    while s < total:
+        e = min(s + strip, total)
+        d = data[s : e + length - 1]
+        gram = _mix(one.each(one.sums(d), k))
+        key = gram & ~_POS
+        key |= np.arange(len(key), dtype=np.uint64)
+        at = (_least(key, w) & _POS).astype(np.int64)  # the anchor of the window at each position
+        t0, t1 = np.searchsorted(start, [s, e - 1], "right") - 1
+        edge = np.clip(start[t0 : t1 + 2] - s, 0, e - s)
+        text = np.repeat(np.arange(t0, t1 + 1), np.diff(edge))
+        p = np.flatnonzero(np.arange(s + length, e + length) <= start[text + 1])  # windows inside a text
+        new = np.ones(len(p), bool)
+        new[1:] = (at[p[1:]] != at[p[:-1]]) | (text[p[1:]] != text[p[:-1]])
+        first, last = p[new], p[np.append(new[1:], True)] if len(p) else p
+        s_next = e
+        if len(p) and p[-1] == e - s - 1 and e < total:  # the next strip has all of the run that this one cuts
+            s_next = s + int(first[-1])
+            first, last = first[:-1], last[:-1]
+        a, t = at[first], text[first]
+        chunk = _mix(two.of(two.sums(d), first, last - first + length) ^ ((a - first).astype(np.uint64) * np.uint64(0x94D049BB133111EB)))
+        base = start[t] - s
+        found.append((t, a - base, first - base, last - base, gram[a], chunk & np.uint64((1 << bits) - 1)))
+        s = s_next
+    if not sum(len(x[0]) for x in found):
         return None
-    new = np.ones(len(p), bool)
-    new[1:] = (at[p[1:]] != at[p[:-1]]) | (text[p[1:]] != text[p[:-1]])
-    first = p[new]
-    last = p[np.append(np.flatnonzero(new)[1:] - 1, len(p) - 1)]
-    a, t = at[first], text[first]
-    chunk = _mix(two.of(s2, first, last - first + length) ^ ((a - first).astype(np.uint64) * np.uint64(0x94D049BB133111EB)))
-    base = start[t]
-    return t, a - base, first - base, last - base, gram[a], chunk & np.uint64((1 << bits) - 1)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _tag(text: bytes, tagged: bool) -> int:
@@ -141,13 +160,22 @@ def _tag(text: bytes, tagged: bool) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True) if tagged else 0
 
 
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 of the texts, one at a time; null is empty."""
+    return (v.as_py() or b"" for v in column.cast(pa.binary()))
+
+
+def _values(column: pa.Array) -> Iterator:
+    """Values made one at a time: those of lists would take many times a batch's memory together."""
+    return (v.as_py() for v in column)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], tagged: bool) -> Iterator[tuple[list[bytes], list[int], list[int], list[int]]]:
     """(texts, or pieces of a long one; their ids, tags and offsets), about PIECE bytes at a time."""
     held: tuple[list, ...] = ([], [], [], [])
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            b = (t or "").encode()
+        for i, b in zip(batch.column("doc_id").to_pylist(), _bytes(batch.column("text")), strict=True):
             if i is None or len(b) < LENGTH:
                 continue
             tag = _tag(b, tagged)
@@ -198,16 +226,19 @@ def _cut_chunks(draw: int, bits: int, tagged: bool):
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = hashes(3 + 10 * draw, PIECE), hashes(4 + 10 * draw, PIECE)
+        one, two = hashes(3 + 10 * draw, 128 + LENGTH), hashes(4 + 10 * draw, 128 + LENGTH)
         fold = lambda x: (_mix(x) & mask).view(np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=True):
-                b = text.encode()
+            for doc, b, wanted in zip(batch.column("doc_id").to_pylist(), _bytes(batch.column("text")), _values(batch.column("wanted")), strict=True):
                 tag = _tag(b, tagged)
                 for w in wanted:
                     if w["tag"] != tag:
                         continue
+                    if len(cols[0]) >= ROWS:
+                        yield out()
+                        cols = [[] for _ in names]
                     p, l, r = _unpack(w["at"])
                     c = b[p - l : p - l + r + LENGTH]
                     if not w["crowded"]:
@@ -225,7 +256,7 @@ def _cut_chunks(draw: int, bits: int, tagged: bool):
                         h1, h2 = (int(fold(h.of(x, at, n) ^ salt)[0]) for h, x in ((one, s1), (two, s2)))
                         for x, v in zip(cols, (w["anchor"], doc, w["at"], tag, None, h1, h2, p - l + s, w1[s:e], w2[s:e]), strict=True):
                             x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+            yield out()
 
     return run
 
@@ -392,8 +423,7 @@ def _removed(digest: bool, tagged: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, runs, kept, took, gave = [], [], [], [], [], []
-            for doc, text, spans, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans", "asked")), strict=True):
-                b = (text or "").encode()
+            for doc, b, spans, asked in zip(batch.column("doc_id").to_pylist(), _bytes(batch.column("text")), _values(batch.column("spans")), _values(batch.column("asked")), strict=True):
                 tag = _tag(b, tagged) if spans or asked else 0
                 own = [x for x in spans or () if x["tag"] == tag]
                 cut = union_of([(x["start"], x["end"]) for x in own])

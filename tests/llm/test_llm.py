@@ -4,9 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +216,48 @@ def test_suffix_anchors_beyond_the_packed_positions(monkeypatch):
         assert np.array_equal(x, y)
 
 
+@pytest.mark.parametrize("strip", [80, 211, 1000, 4096])
+def test_suffix_anchors_of_any_strip(strip, monkeypatch):
+    """Strips cut neither windows nor runs of windows, in texts that end, repeat or are too short at a cut."""
+    r = random.Random(18)
+    items = [bytes(r.choice(b"abc") for _ in range(n)) for n in (900, 0, 99, 100, 5, 1500, 101)] + [b"ab" * 300, b"", b"x" * 700, b"y" * 99]
+    want = suffix_dedup.anchors(items)
+    monkeypatch.setattr(suffix_dedup, "STRIP", strip)
+    for x, y in zip(want, suffix_dedup.anchors(items), strict=True):
+        assert np.array_equal(x, y)
+    # A plain loop over the windows finds the same runs.
+    runs = []
+    h = suffix_dedup.hashes(1, 4096)
+    for i, b in enumerate(items):
+        for p in range(len(b) - 99):
+            d = np.frombuffer(b[p : p + 100], np.uint8)
+            top = suffix_dedup._mix(h.of(h.sums(d), np.arange(77), 24)) >> np.uint64(26)
+            at = p + int(np.argmin(top))
+            if runs and runs[-1][:2] == [i, at]:
+                runs[-1][3] = p
+            else:
+                runs.append([i, at, p, p])
+    assert runs == np.stack(want[:4], axis=1).tolist()
+
+
+def test_suffix_memory_of_a_worker():
+    """Neither a piece's hashes nor the chunks asked of a batch are held at once."""
+    r = random.Random(19)
+    text = "".join(r.choice(VOCABULARY) + " " for _ in range(250_000)).encode()[: suffix_dedup.PIECE]
+    batch = pa.record_batch([pa.array([1], pa.int64()), pa.array([text.decode(errors="ignore")])], names=["doc_id", "text"])
+    _, a, first, last, _, _ = suffix_dedup.anchors([text])
+    wanted = [{"anchor": 1, "at": int(p) << 14 | int(p - s) << 7 | int(e - s), "tag": 0, "crowded": True} for p, s, e in zip(a, first, last, strict=True)]
+    asked = batch.append_column("wanted", pa.array([wanted]))
+    peaks = []
+    for run, rows in ((suffix_dedup._anchor_hashes(0), batch), (suffix_dedup._anchor_rows(0, 64, False), batch), (suffix_dedup._cut_chunks(0, 64, False), asked)):
+        tracemalloc.start()
+        for _ in run(iter([rows])):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1] / len(text))
+        tracemalloc.stop()
+    assert peaks[0] < 16 and peaks[1] < 16 and peaks[2] < 60, peaks
+
+
 def test_suffix_sort_order():
     data = np.frombuffer(b"banana_bandana_banner_ban" * 3, np.uint8)
     at = np.arange(0, len(data), 2)
